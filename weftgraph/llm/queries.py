@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..tables import load
-from . import doc_pairs
+from . import doc_pairs, machine_files
 
 QUERIES = {
+    "p4_found": lambda s, d: machine_files.machine_files(load(s, d, "files")).select("repo_id", "path"),
+    "p4_reasons": lambda s, d: machine_files.machine_files(load(s, d, "files")).select("repo_id", "path", F.array_join("reasons", ",").alias("reasons")),
     "p5_found": lambda s, d: doc_pairs.documented_functions(load(s, d, "files")).select("repo_id", "path", "name", "start_line").distinct(),
     "p5_pairs": lambda s, d: doc_pairs.documented_functions(load(s, d, "files")),
 }
