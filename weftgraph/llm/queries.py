@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import doc_pairs, machine_files
+from . import abuse, doc_pairs, machine_files
 
 QUERIES = {
     "p4_found": lambda s, d: machine_files.machine_files(load(s, d, "files")).select("repo_id", "path"),
@@ -14,4 +14,16 @@ QUERIES = {
     "p5_pairs": lambda s, d: doc_pairs.documented_functions(load(s, d, "files")),
 }
 
+
+def _scores(spark, d):
+    documents = load(spark, d, "documents")
+    return abuse.score_documents(documents, abuse.train(documents, load(spark, d, "review_labels")))
+
+
+QUERIES |= {
+    "p8_found": lambda s, d: _scores(s, d).where("abusive").select("doc_id"),
+    "p8_scores": lambda s, d: _scores(s, d).select("doc_id", "source", "score", "abusive"),
+    "p8_rates": lambda s, d: abuse.source_rates(_scores(s, d)),
+}
+
 SQL: dict[str, str] = {}
