@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import abuse, doc_pairs, machine_files
+from . import abuse, doc_pairs, machine_files, mixture, packing, similar_vectors, tokens
 
 QUERIES = {
     "p4_found": lambda s, d: machine_files.machine_files(load(s, d, "files")).select("repo_id", "path"),
@@ -26,4 +26,18 @@ QUERIES |= {
     "p8_rates": lambda s, d: abuse.source_rates(_scores(s, d)),
 }
 
+
+def _sizes(spark, d):
+    return tokens.document_sizes(load(spark, d, "documents"))
+
+
+QUERIES |= {
+    "p2_found": lambda s, d: similar_vectors.mutual_pairs(load(s, d, "vectors")),
+    "p2_neighbours": lambda s, d: similar_vectors.neighbours(load(s, d, "vectors")),
+    "p6_packing": lambda s, d: packing.pack(_sizes(s, d), load(s, d, "pack_sizes")),
+    "p6_fill": lambda s, d: packing.fill_report(packing.pack(_sizes(s, d), load(s, d, "pack_sizes")), load(s, d, "pack_sizes")),
+    "p7_mixture": lambda s, d: mixture.mixture(_sizes(s, d), load(s, d, "mix_targets")),
+    "p7_shares": lambda s, d: mixture.shares(_sizes(s, d), load(s, d, "mix_targets")),
+}
+
 SQL: dict[str, str] = {}
