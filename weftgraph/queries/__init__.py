@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_quality
+from . import data_quality, graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (data_quality,)
+MODULES = (data_quality, graph)
 
 
 def queries() -> dict[str, Query]:
