@@ -57,13 +57,17 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return each.select(key, "length", F.explode("terms").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
+def _equals(word: str):
+    return lambda t: t == F.lit(word)
+
+
 def bm25(docs: DataFrame, key: str, text: Column, query: str, limit: int = 30) -> DataFrame:
     """(key, score): the best texts for the first twelve terms of the query, any of which may occur; ties go by key."""
     wanted = list(dict.fromkeys(t for t in re.findall(r"[a-z0-9_]+", query.lower()) if len(t) > 1))[:12]
     terms = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_]+)"), 1), lambda t: F.length(t) > 1)
     each = docs.select(key, terms.alias("terms"))
     # One pass: the length, and the count of each wanted term; the terms themselves are never shuffled.
-    counted = each.select(key, F.size("terms").alias("length"), *(F.size(F.filter("terms", lambda t, w=w: t == w)).alias(f"tf{n}") for n, w in enumerate(wanted)))
+    counted = each.select(key, F.size("terms").alias("length"), *(F.size(F.filter("terms", _equals(w))).alias(f"tf{n}") for n, w in enumerate(wanted)))
     whole = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average"), *(F.count_if(F.col(f"tf{n}") > 0).alias(f"df{n}") for n in range(len(wanted))))
     joined = counted.join(F.broadcast(whole))  # one row
     score = F.lit(0.0)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_quality, graph
+from . import data_quality, graph, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (data_quality, graph)
+MODULES = (data_quality, graph, text)
 
 
 def queries() -> dict[str, Query]:
