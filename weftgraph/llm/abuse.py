@@ -34,20 +34,20 @@ BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 #: Strength of the prior of the log-count ratios, in sentences.
 PRIOR = 20.0
-ROUNDS = 2
+ROUNDS = 1
 REGULARISATION = 2e-5
 #: Share of the sentences of documents labelled as without abuse that may be abuse nonetheless.
 WRONG_LABELS = 0.002
-ITERATIONS = 30
+ITERATIONS = 25
 #: Score from which a document counts as abusive.
-THRESHOLD = 0.5
+THRESHOLD = 0.2
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters inside words.
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнԛԝɡцαορεικντυχβν", "aeopcyxijsdhkmtbhqwguaopeikvtuxbv")
 _SIGNS = str.maketrans("013457$@!|€", "oieastsaile")
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W\d_])")
-_SIGN_IN_WORD = re.compile(r"(?<=[a-z])[013457$@!|€]+(?=[a-z$@])|(?<!\w)\$(?=[a-z]{2})|(?<=[a-z])[$@]+(?!\w)")
+_SIGN_IN_WORD = re.compile(r"(?<=[a-z])[013457$@!|€]+(?=[a-z])|(?<!\w)\$(?=[a-z]{2})|(?<=[a-z])[$@]+(?!\w)")
 
 
 def plain(text: str) -> str:
@@ -149,13 +149,14 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     common = counted.select(F.explode("bucket").alias("bucket")).groupBy("bucket").count().where("count >= 2").select("bucket").toPandas()  # at most BUCKETS rows
     known = np.zeros(BUCKETS, bool)
     known[common["bucket"].to_numpy(np.int64)] = True
+    slot, width = (np.cumsum(known) - 1).astype(np.int32), max(1, int(known.sum()))  # vectors hold known buckets only
 
     @F.udf(VectorUDT())
     def vector(bucket: list[int], times: list[float]) -> SparseVector:
         i, v = np.array(bucket, np.int32), np.array(times)
         keep = known[i]
         i, v = i[keep], v[keep]
-        return SparseVector(BUCKETS, i, v / np.sqrt(max(v.sum(), 1.0)))
+        return SparseVector(width, slot[i], v / np.sqrt(max(v.sum(), 1.0)))
 
     return _learn(cut_lineage(counted.withColumn("base", vector("bucket", "times")).drop("times")), known)
 
@@ -172,7 +173,9 @@ def _learn(base: DataFrame, known: np.ndarray) -> Model:
             negative = negative | (own & (F.col("z") < bar - 4))
         marked = data.withColumn("y", F.when(positive, 1.0).when(negative, 0.0))
         if r == ROUNDS:
-            return _fit(marked.where("y is not null"), known)[0]
+            model = _fit(marked.where("y is not null"), known)[0]
+            data.unpersist()
+            return model
         scored = None
         for half in (0, 1):  # each half is scored by a model of the other
             _, scorer = _fit(marked.where((F.col("half") != half) | (seed != 0)).where("y is not null"), known)
@@ -196,12 +199,14 @@ def _fit(rows: DataFrame, known: np.ndarray):
     p[counts["bucket"]], q[counts["bucket"]] = counts["p"], counts["q"]
     share = n_pos / (n_pos + n_neg)
     ratio = np.log((p + PRIOR * share) / (q + PRIOR * (1 - share))) - np.log(n_pos / n_neg)
-    ratio[~known] = 0.0
+    ratio = ratio[known] if known.any() else np.zeros(1)
     scale = ElementwiseProduct(scalingVec=DenseVector(ratio), inputCol="base", outputCol="features")
     weight = F.when(F.col("y") == 1, 0.3 * (n_pos + n_neg) / n_pos).otherwise(0.7 * (n_pos + n_neg) / n_neg)
     learner = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=REGULARISATION, maxIter=ITERATIONS, standardization=False, aggregationDepth=2)
     fitted = learner.fit(scale.transform(rows).select("features", "y", weight.alias("weight")))
-    model = Model((fitted.coefficients.toArray() * ratio).astype(np.float32), known, float(fitted.intercept))
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[known] = (fitted.coefficients.toArray() * ratio)[: known.sum()]
+    model = Model(weights, known, float(fitted.intercept))
 
     def scorer(table: DataFrame) -> DataFrame:
         out = fitted.transform(scale.transform(table))
