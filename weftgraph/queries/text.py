@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.vectors import cosine
 from ..operators import graph as g
-from ..operators import ladder, metrics, upserts
+from ..operators import control_flow, ladder, metrics, upserts
 from ..plans import evaluation, search
 from ..sources import facts, languages
 from ..streaming import windows
@@ -105,6 +105,8 @@ QUERIES = {
     "python_facts": lambda s, d: facts.python_facts(load(s, d, "files")),
     "javascript_facts": lambda s, d: facts.javascript_facts(load(s, d, "files")),
     "config_keys": lambda s, d: facts.config_keys(load(s, d, "files")),
+    "hlasm_blocks": lambda s, d: control_flow.hlasm_blocks(load(s, d, "files")),
+    "cobol_flow": lambda s, d: control_flow.cobol_paragraph_edges(load(s, d, "files")),
     "sql_passthrough": lambda s, d: _sql(s, d),
     "events_tumbling": lambda s, d: windows.tumbling(load(s, d, "events"), "6 hours"),
     "events_sessions": lambda s, d: windows.sessions(load(s, d, "events"), "30 minutes").select("user_id", "session_start", "session_end", "n"),
