@@ -36,11 +36,13 @@ GRAMS = (3, 4, 5)
 PRIOR = 20.0
 ROUNDS = 1
 REGULARISATION = 2e-5
+#: Least and greatest share of the positives in the weight of all sentences; in between it is their share in number. Low, as some of them are wrong.
+POSITIVE_SHARE = (0.04, 0.3)
 #: Share of the sentences of documents labelled as without abuse that may be abuse nonetheless.
 WRONG_LABELS = 0.002
 ITERATIONS = 25
 #: Score from which a document counts as abusive.
-THRESHOLD = 0.2
+THRESHOLD = -0.5
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters inside words.
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнԛԝɡцαορεικντυχβν", "aeopcyxijsdhkmtbhqwguaopeikvtuxbv")
@@ -132,8 +134,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     spark = documents.sparkSession
     seeds = spark.createDataFrame([(s, y) for t, y in labelled() for s in [" ".join(plain(t).split())]], "sentence string, seed int").dropDuplicates(["sentence"])
     pool = _labelled_sentences(documents, labels)
-    unlike = pool.where("negative > 0").orderBy(F.xxhash64("sentence"), "sentence").limit(MAX_NEGATIVES)
-    pool = unlike.unionByName(pool.where("negative = 0")).withColumn("seed", F.lit(0)).join(seeds.select("sentence"), "sentence", "left_anti")
+    unlike = pool.where("negative >= positive").orderBy(F.xxhash64("sentence"), "sentence").limit(MAX_NEGATIVES)
+    pool = unlike.unionByName(pool.where("positive > negative")).withColumn("seed", F.lit(0)).join(seeds.select("sentence"), "sentence", "left_anti")
     pool = pool.unionByName(seeds.withColumns({"positive": F.lit(0).cast("long"), "negative": F.lit(0).cast("long")}))
     pool = pool.withColumn("half", F.pmod(F.xxhash64("sentence"), F.lit(2)).cast("int"))
 
@@ -164,11 +166,11 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 def _learn(base: DataFrame, known: np.ndarray) -> Model:
     """The rounds of training over the table of sentences with their base vectors."""
     data, bar = base.withColumn("z", F.lit(-99.0)).persist(), 0.0
-    seed, own = F.col("seed"), (F.col("positive") > 0) & (F.col("negative") == 0)
+    seed, own = F.col("seed"), F.col("positive") > F.col("negative")
     for r in range(ROUNDS + 1):
         positive = (seed == 1) | (own & (F.col("z") > bar) if r else F.lit(False))
         # A sentence in very few documents without abuse that looks abusive is a wrong label; one in many is not.
-        negative = (seed == -1) | ((F.col("negative") > 0) & ((F.col("z") < bar + 1) | (F.col("negative") > 2)))
+        negative = (seed == -1) | ((F.col("negative") > 0) & ~own & ((F.col("z") < bar + 1) | (F.col("negative") > 2)))
         if r:
             negative = negative | (own & (F.col("z") < bar - 4))
         marked = data.withColumn("y", F.when(positive, 1.0).when(negative, 0.0))
@@ -185,8 +187,7 @@ def _learn(base: DataFrame, known: np.ndarray) -> Model:
         data = cut_lineage(scored).persist()
         previous.unpersist()
         # What a model finds in all but a few of the sentences without abuse that it never saw is no sign of abuse.
-        bar = data.where("negative > 0").agg(F.percentile_approx("z", 1 - WRONG_LABELS, 10_000)).first()[0] or 0.0
-        bar = max(bar, 0.0)
+        bar = data.where("negative > 0 and negative >= positive").agg(F.percentile_approx("z", 1 - WRONG_LABELS, 10_000)).first()[0] or 0.0
     raise AssertionError
 
 
@@ -201,7 +202,9 @@ def _fit(rows: DataFrame, known: np.ndarray):
     ratio = np.log((p + PRIOR * share) / (q + PRIOR * (1 - share))) - np.log(n_pos / n_neg)
     ratio = ratio[known] if known.any() else np.zeros(1)
     scale = ElementwiseProduct(scalingVec=DenseVector(ratio), inputCol="base", outputCol="features")
-    weight = F.when(F.col("y") == 1, 0.3 * (n_pos + n_neg) / n_pos).otherwise(0.7 * (n_pos + n_neg) / n_neg)
+    part = min(max(share, POSITIVE_SHARE[0]), POSITIVE_SHARE[1])
+    # A sentence that stands in many documents without abuse counts as often, up to a bound.
+    weight = F.when(F.col("y") == 1, part * (n_pos + n_neg) / n_pos).otherwise((1 - part) * (n_pos + n_neg) / n_neg * F.greatest(F.lit(1.0), F.least(F.lit(20.0), F.col("negative").cast("double"))))
     learner = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=REGULARISATION, maxIter=ITERATIONS, standardization=False, aggregationDepth=2)
     fitted = learner.fit(scale.transform(rows).select("features", "y", weight.alias("weight")))
     weights = np.zeros(BUCKETS, np.float32)
