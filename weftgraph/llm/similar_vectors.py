@@ -23,8 +23,8 @@ from ..tables import clean_id
 FIT_SAMPLE = 16_384
 #: Rows of a cell that one task compares at once with as many queries; larger cells are split.
 BLOCK = 4096
-#: Standard errors of the estimate within which a vector counts as possible; 1.9 keeps all but 1 in 10^3.
-EPSILON = 1.9
+#: Standard errors of the estimate within which a vector counts as possible: 3 lose about 1 vector in 10^3, 1.9 about 3 in 10^2.
+SURE, LIKELY = 3.0, 1.9
 QUERY_BITS = 4
 
 
@@ -63,7 +63,7 @@ def encode(x: np.ndarray, centroid: np.ndarray, turn: np.ndarray) -> tuple[np.nd
     return _pack(turned > 0), length, np.maximum(own, 1e-6), direction @ centroid
 
 
-def estimate(q: np.ndarray, centroid: np.ndarray, turn: np.ndarray, code: tuple) -> tuple[np.ndarray, np.ndarray]:
+def estimate(q: np.ndarray, centroid: np.ndarray, turn: np.ndarray, code: tuple, epsilon: float = SURE) -> tuple[np.ndarray, np.ndarray]:
     """Estimates of the inner products of the rows of ``q`` with encoded vectors, and their error bounds."""
     bits, length, own, with_centroid = code
     width = turn.shape[1]
@@ -85,7 +85,7 @@ def estimate(q: np.ndarray, centroid: np.ndarray, turn: np.ndarray, code: tuple)
     product = total / (np.sqrt(width) * own).astype(np.float32)
     scale = (q_length[:, None] * length).astype(np.float32)
     guess = (q @ centroid)[:, None].astype(np.float32) + scale * product + (length * with_centroid).astype(np.float32)
-    bound = scale * (EPSILON * np.sqrt((1 - np.minimum(own, 1) ** 2) / own**2) / np.sqrt(width - 1)).astype(np.float32)
+    bound = scale * (epsilon * np.sqrt((1 - np.minimum(own, 1) ** 2) / own**2) / np.sqrt(width - 1)).astype(np.float32)
     return guess, bound + np.float32(1e-5)
 
 
@@ -127,7 +127,7 @@ def _means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
-def similar_classes(reps: DataFrame, k: int, floor: float, probes: int | float, rows_per_cell: int | None) -> DataFrame:
+def similar_classes(reps: DataFrame, k: int, floor: float, probes: int | float, rows_per_cell: int | None, epsilon: float = SURE) -> DataFrame:
     """(model, dim, q1, q2, x1, x2, similarity): up to ``k`` most similar other vectors of each distinct vector, by cosine.
 
     ``probes`` cells are searched for each, or that share of all cells if it is under 1.
@@ -168,7 +168,7 @@ def similar_classes(reps: DataFrame, k: int, floor: float, probes: int | float,
             ids, asks = left[["v1", "v2"]].to_numpy(), right[["asked_v1", "asked_v2"]].to_numpy()
             rows = max(1, 1_000_000 // len(x))
             for a in range(0, len(q), rows):
-                found.append(_best(q[a : a + rows], asks[a : a + rows], x, ids, code, centroid, turn, k, floor))
+                found.append(_best(q[a : a + rows], asks[a : a + rows], x, ids, code, centroid, turn, k, floor, epsilon))
         columns = ["q1", "q2", "x1", "x2", "similarity"]
         out = pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="float64" if c == "similarity" else "int64") for c in columns})
         return out.assign(model=model, dim=dim)[["model", "dim", *columns]]
@@ -180,9 +180,9 @@ def similar_classes(reps: DataFrame, k: int, floor: float, probes: int | float,
     return pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
 
 
-def _best(q, asks, x, ids, code, centroid, turn, k, floor) -> pd.DataFrame:
+def _best(q, asks, x, ids, code, centroid, turn, k, floor, epsilon) -> pd.DataFrame:
     """Exact similarities of the up to ``k`` best of ``x`` for each query; only what the bounds leave possible is computed."""
-    guess, bound = estimate(q, centroid, turn, code)
+    guess, bound = estimate(q, centroid, turn, code, epsilon)
     same = (asks[:, None, 0] == ids[None, :, 0]) & (asks[:, None, 1] == ids[None, :, 1])
     guess[same] = -9.0
     bar = np.full(len(q), floor, np.float32)
@@ -200,7 +200,7 @@ def _best(q, asks, x, ids, code, centroid, turn, k, floor) -> pd.DataFrame:
     return pd.DataFrame({"q1": asks[i, 0], "q2": asks[i, 1], "x1": ids[j, 0], "x2": ids[j, 1], "similarity": exact[top]})
 
 
-def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, probes: int | float = 0.7, rows_per_cell: int | None = 8192, all_members: bool = True) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, probes: int | float = 0.7, rows_per_cell: int | None = 8192, all_members: bool = True, epsilon: float = LIKELY) -> DataFrame:
     """(model, chunk_id, rank, neighbour, similarity): the ``k`` most similar other chunks of each usable vector, within its model.
 
     Rank 1 is the most similar; ties go by chunk_id. Vectors of unequal ``dim`` are not compared.
@@ -213,7 +213,7 @@ def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, probes: int
     group = Window.partitionBy("model", "dim", "v1", "v2").orderBy("chunk_id")
     ranked = rows.withColumn("member", F.row_number().over(group)).where(F.col("member") <= k + 1)  # the limit is pushed below the shuffle
     ranked = cut_lineage(ranked)
-    classes = similar_classes(ranked.where("member = 1").select("model", "dim", "v1", "v2", "vector"), k, floor, probes, rows_per_cell)
+    classes = similar_classes(ranked.where("member = 1").select("model", "dim", "v1", "v2", "vector"), k, floor, probes, rows_per_cell, epsilon)
     members = ranked.select("model", "dim", F.col("v1").alias("x1"), F.col("v2").alias("x2"), F.col("chunk_id").alias("neighbour"))
     itself = ranked.where("member = 1").select("model", "dim", F.col("v1").alias("q1"), F.col("v2").alias("q2"), F.col("v1").alias("x1"), F.col("v2").alias("x2"), F.lit(1.0).alias("similarity"))
     lists = classes.unionByName(itself).join(members, ["model", "dim", "x1", "x2"])
@@ -227,7 +227,7 @@ def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, probes: int
 
 def mutual_pairs(vectors: DataFrame, k: int = 10, floor: float = 0.9, probes: int = 6) -> DataFrame:
     """(chunk_id_a, chunk_id_b): pairs of at least ``floor`` similarity where each is among the ``k`` most similar of the other, smaller id first."""
-    near = neighbours(vectors, k, floor, probes, None, all_members=False)
+    near = neighbours(vectors, k, floor, probes, None, False, SURE)
     a, b = F.least("chunk_id", "neighbour"), F.greatest("chunk_id", "neighbour")
     both = near.select("model", a.alias("chunk_id_a"), b.alias("chunk_id_b")).groupBy("model", "chunk_id_a", "chunk_id_b").count()
     return both.where("count = 2").select("chunk_id_a", "chunk_id_b").distinct()
