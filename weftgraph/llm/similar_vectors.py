@@ -183,12 +183,14 @@ def similar_classes(reps: DataFrame, k: int, floor: float, probes: int | float,
 def _best(q, asks, x, ids, code, centroid, turn, k, floor, epsilon) -> pd.DataFrame:
     """Exact similarities of the up to ``k`` best of ``x`` for each query; only what the bounds leave possible is computed."""
     guess, bound = estimate(q, centroid, turn, code, epsilon)
-    same = (asks[:, None, 0] == ids[None, :, 0]) & (asks[:, None, 1] == ids[None, :, 1])
-    guess[same] = -9.0
+    place = {(a, b): n for n, (a, b) in enumerate(ids.tolist())}
+    own = [(n, place[a, b]) for n, (a, b) in enumerate(asks.tolist()) if (a, b) in place]
+    if own:
+        guess[tuple(np.array(own).T)] = -99.0
     bar = np.full(len(q), floor, np.float32)
     if len(x) > k:
         bar = np.maximum(bar, np.partition(guess - bound, len(x) - k, axis=1)[:, len(x) - k])
-    i, j = np.nonzero((guess + bound >= bar[:, None]) & ~same)
+    i, j = np.nonzero(guess + bound >= bar[:, None])
     exact = np.einsum("nd,nd->n", q[i], x[j])
     keep = exact >= floor
     i, j, exact = i[keep], j[keep], exact[keep]
@@ -200,7 +202,7 @@ def _best(q, asks, x, ids, code, centroid, turn, k, floor, epsilon) -> pd.DataFr
     return pd.DataFrame({"q1": asks[i, 0], "q2": asks[i, 1], "x1": ids[j, 0], "x2": ids[j, 1], "similarity": exact[top]})
 
 
-def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, probes: int | float = 0.7, rows_per_cell: int | None = 8192, all_members: bool = True, epsilon: float = LIKELY) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, probes: int | float = 0.55, rows_per_cell: int | None = 4096, all_members: bool = True, epsilon: float = LIKELY) -> DataFrame:
     """(model, chunk_id, rank, neighbour, similarity): the ``k`` most similar other chunks of each usable vector, within its model.
 
     Rank 1 is the most similar; ties go by chunk_id. Vectors of unequal ``dim`` are not compared.
