@@ -202,7 +202,7 @@ def _best(q, asks, x, ids, code, centroid, turn, k, floor, epsilon) -> pd.DataFr
     return pd.DataFrame({"q1": asks[i, 0], "q2": asks[i, 1], "x1": ids[j, 0], "x2": ids[j, 1], "similarity": exact[top]})
 
 
-def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, probes: int | float = 0.55, rows_per_cell: int | None = 4096, all_members: bool = True, epsilon: float = LIKELY) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, probes: int | float = 0.7, rows_per_cell: int | None = 4096, all_members: bool = True, epsilon: float = LIKELY) -> DataFrame:
     """(model, chunk_id, rank, neighbour, similarity): the ``k`` most similar other chunks of each usable vector, within its model.
 
     Rank 1 is the most similar; ties go by chunk_id. Vectors of unequal ``dim`` are not compared.
