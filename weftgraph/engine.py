@@ -57,7 +57,7 @@ class Engine:
         return one.join(counts, "id", "left").join(impact.completeness(counts), "id", "left").join(risk, "id", "left").fillna(0, ["callers", "candidates", "callees", "tests"])
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
-        return search.hybrid(self.entities, self.relationships, self.churn(), query, limit)
+        return search.hybrid(self.entities, self.relationships, self.churn(), self.table("vectors"), self.table("files"), query, limit)
 
     def gaps(self) -> DataFrame:
         return ladder.gaps(self.relationships, self.entities).orderBy(F.desc("ref_count"), "stub_id")

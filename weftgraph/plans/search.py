@@ -1,7 +1,7 @@
 """Ranked search: symbol, keyword, BM25, vector, neighbourhood and change signals, fused by reciprocal rank.
 
 A query is free text, given as a Python string; its tokens are constants in the plan. All signals
-are tables (id, score or position) that end in a top-k, so no signal leaves the cluster before it.
+are tables (id, score or position); all but the neighbourhood end in a top-k, and none is collected.
 """
 
 from __future__ import annotations
@@ -13,12 +13,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import cosine
-from ..tables import DEPENDENCY_TYPES, RESOLVED_LEVELS, SYMBOL_KINDS
+from ..operators.intervals import FILE, line_owners
+from ..operators.metrics import lines
+from ..session import cut_lineage
+from ..tables import DEPENDENCY_TYPES, RESOLVED_LEVELS, SYMBOL_KINDS, clean_id
 
 # Weights of the signals, the constant of reciprocal rank fusion, and BM25's parameters.
 WEIGHTS = {"symbol": 1.4, "keyword": 1.0, "semantic": 1.0, "graph": 0.8, "proximity": 0.4, "churn": 0.3}
 RRF_K = 60
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Kinds whose lines are chunks, and the signals that give seeds, each its first SEEDS, in the order of their say.
+CHUNK_KINDS = ("function", "method", "class", "interface", "test", "legacy_program", "copybook", "jcl_job", "paragraph")
+SEED_SIGNALS, SEEDS = ("symbol", "semantic", "keyword"), 5
+CHUNK_ID = r"^chunk:([^:]+):(.*):(\d+)-(\d+)$"
 
 
 def query_tokens(query: str) -> list[str]:
@@ -81,13 +88,62 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, limit: int = 30) -
     return joined.where(hit).select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
-def keyword_overlap(entities: DataFrame, query: str, limit: int = 30) -> DataFrame:
-    """(id, score): distinct query tokens among those of an entity's names and documentation, 2 more if its name is one."""
+def keyword_overlap(entities: DataFrame, query: str, limit: int | None = 30) -> DataFrame:
+    """(id, score): distinct query tokens among those of an entity's names and documentation, 2 more if its name is one; all without a limit."""
     wanted = F.array(*map(F.lit, query_tokens(query)))
     tokens = F.array_distinct(F.concat(tx.tokenize("name"), tx.tokenize("qualified_name"), tx.tokenize("docstring")))
     overlap = F.size(F.array_intersect(tokens, wanted))
     score = overlap + F.when(F.array_contains(wanted, F.lower("name")), 2).otherwise(0)
-    return entities.where(overlap > 0).select("id", score.cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    found = entities.where(overlap > 0).select("id", score.cast("double").alias("score"))
+    return found.orderBy(F.desc("score"), "id").limit(limit) if limit else found
+
+
+def stored_chunks(vectors: DataFrame) -> DataFrame:
+    """(chunk_id, repo_id, path, start_line, end_line, model, vector) of each chunk, its place as its id states it.
+
+    The vector is null unless it has the stated length, no NaN and some length; of repeated rows the least usable one counts.
+    """
+    x = F.col("vector")
+    usable = (F.size(x) == F.col("dim")) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v)) & F.exists(x, lambda v: v != 0)
+    one = vectors.groupBy(F.trim("chunk_id").alias("chunk_id")).agg(F.min(F.when(usable, F.struct("model", "vector"))).alias("v"))
+    part = lambda n: F.regexp_extract("chunk_id", CHUNK_ID, n)
+    return one.where(F.col("chunk_id").rlike(CHUNK_ID)).select("chunk_id", clean_id(part(1)).alias("repo_id"), clean_id(part(2)).alias("path"), part(3).cast("int").alias("start_line"), part(4).cast("int").alias("end_line"), "v.model", "v.vector")
+
+
+def chunk_texts(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """(chunk_id, text): the chunks' lines in the newest content of their files, secrets masked; chunks of files that are not stored are left out."""
+    newest = files.where("content is not null").groupBy(clean_id("repo_id").alias("repo_id"), clean_id("path").alias("path")).agg(F.max_by("content", "indexed_at").alias("content"))
+    at = chunks.where("start_line > 0 and start_line <= end_line").select("chunk_id", *FILE, "start_line", "end_line")
+    own = at.join(newest.select(*FILE, lines("content").alias("lines")), FILE)
+    return own.select("chunk_id", tx.scrub_secrets(F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")).alias("text"))
+
+
+def of_entities(hits: DataFrame, chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, chunk_id, score): some tens of scored chunks with the symbol that owns their first line; chunks between symbols are left out."""
+    at = chunks.join(F.broadcast(hits), "chunk_id").select("chunk_id", "score", *FILE, F.col("start_line").alias("line"))
+    at = cut_lineage(at)
+    spans = entities.where(F.col("kind").isin(*CHUNK_KINDS) & F.col("start_line").isNotNull()).select(clean_id("repo_id").alias("repo_id"), clean_id("path").alias("path"), "start_line", "end_line", F.col("id").alias("span_id"))
+    owners = line_owners(spans.join(F.broadcast(at.select(*FILE).distinct()), FILE, "left_semi"))
+    return at.join(owners, [*FILE, "line"]).select(F.col("span_id").alias("id"), "chunk_id", "score")
+
+
+def keyword_signal(entities: DataFrame, by_text: DataFrame, query: str, limit: int = 30) -> DataFrame:
+    """(id, score): the keyword overlap, and for each of an entity's chunks in ``by_text`` (id, score by BM25) twice its share of the best score."""
+    best = F.broadcast(by_text.agg(F.max("score").alias("best")))  # one row
+    body = by_text.join(best).select("id", F.when(F.col("best") > 0, 2 * F.col("score") / F.col("best")).otherwise(0.0).alias("score"))
+    both = keyword_overlap(entities, query, None).unionByName(body)
+    return both.groupBy("id").agg(F.round(F.sum("score"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def semantic_signal(entities: DataFrame, chunks: DataFrame, by_text: DataFrame, limit: int = 30) -> DataFrame:
+    """(id, score): the owners of the chunks nearest to the stored vector of the best chunk in ``by_text`` (chunk_id, score) that has one, within its model.
+
+    The models that made the vectors are not here, so the query itself has no vector. An entity has the score of its best chunk.
+    """
+    known = chunks.where("vector is not null")
+    one = cut_lineage(known.join(F.broadcast(by_text), "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(1).select("model", F.col("vector").alias("q")))
+    near = nearest(known.join(F.broadcast(one.select("model")), "model", "left_semi"), "chunk_id", "vector", one.select("q"), limit)
+    return of_entities(near, chunks, entities).groupBy("id").agg(F.max("score").alias("score"))
 
 
 def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, limit: int = 30) -> DataFrame:
@@ -102,6 +158,15 @@ def ranked(signal: DataFrame, key: str, name: str) -> DataFrame:
     return signal.select(F.col(key).alias("id"), F.lit(name).alias("signal"), (F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1).alias("position"))
 
 
+def placed(signal: DataFrame, name: str) -> DataFrame:
+    """(id, signal, position): as ``ranked``, for a signal (id, score) of any size: sorted by ranges of score and id, each range numbered by itself."""
+    numbered = signal.orderBy(F.desc("score"), "id").select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("n"))
+    numbered = cut_lineage(numbered)
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("size"))  # one row a range
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return numbered.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("id", F.lit(name).alias("signal"), (F.col("before") + F.col("n")).alias("position"))
+
+
 def fuse(signals: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
     """(id, score, signals): the sum of weight / (k + position + 1) over the signals an id is in; signals without weight count nothing."""
     weights = weights or WEIGHTS
@@ -110,13 +175,14 @@ def fuse(signals: DataFrame, weights: dict[str, float] | None = None, k: int = R
     return scored.groupBy("id").agg(F.round(F.sum(F.col("w") / (k + F.col("position") + 1)), 8).alias("score"), F.array_sort(F.collect_set("signal")).alias("signals"))
 
 
-def graph_signal(seeds: DataFrame, entities: DataFrame, rels: DataFrame, limit: int = 100) -> DataFrame:
-    """(id, score): neighbours of the seeds (id, score) over dependencies and definitions; calls count only if resolved. The score is that of the best seed."""
+def graph_signal(seeds: DataFrame, entities: DataFrame, rels: DataFrame, limit: int | None = 100) -> DataFrame:
+    """(id, score): neighbours of the seeds (id, score) over dependencies and definitions; calls count only if resolved. The score is that of the best seed; without a limit all come, in no order."""
     steps = rels.where(F.col("type").isin(*DEPENDENCY_TYPES, "defines")).where("type <> 'calls' or coalesce(resolution in ({}), false)".format(", ".join(f"'{r}'" for r in RESOLVED_LEVELS)))
     both = steps.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).unionByName(steps.select(F.col("dst_id").alias("a"), F.col("src_id").alias("b")))
     hop = both.join(F.broadcast(seeds.select(F.col("id").alias("a"), "score")), "a").groupBy(F.col("b").alias("id")).agg(F.max("score").alias("score"))  # seeds: a few rows
     known = entities.select("id").where("not missing")
-    return hop.join(known, "id", "left_semi").orderBy(F.desc("score"), "id").limit(limit)
+    found = hop.join(known, "id", "left_semi")
+    return found.orderBy(F.desc("score"), "id").limit(limit) if limit else found
 
 
 def proximity_signal(seeds: DataFrame, entities: DataFrame, limit: int = 30) -> DataFrame:
@@ -134,16 +200,26 @@ def churn_boost(fused: DataFrame, entities: DataFrame, churn: DataFrame, weight:
     return paths.select("id", F.round(F.col("score") + boost, 8).alias("score"), "signals")
 
 
-def hybrid(entities: DataFrame, rels: DataFrame, churn: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """(id, name, kind, score, signals, confidence): the fused search over symbol, keyword, graph and proximity signals, boosted by churn; stubs are left out.
+def seeds_of(signals: DataFrame) -> DataFrame:
+    """(id, score): the first SEEDS of each seed-giving signal (id, signal, position), in the order of the signals, each id once."""
+    first = F.array_position(F.array(*map(F.lit, SEED_SIGNALS)), F.col("signal")) - 1
+    few = signals.where((F.col("position") < SEEDS) & F.col("signal").isin(*SEED_SIGNALS))
+    return few.groupBy("id").agg((-F.min(first * SEEDS + F.col("position"))).cast("double").alias("score"))
+
+
+def hybrid(entities: DataFrame, rels: DataFrame, churn: DataFrame, vectors: DataFrame, files: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """(id, name, kind, score, signals, confidence): the fused search over symbol, keyword, semantic, graph and proximity signals, boosted by churn; stubs are left out.
 
-    Prose weighs keywords less than a query that looks like an identifier.
+    Prose weighs keywords less, and vectors more, than a query that looks like an identifier.
     """
+    chunks = stored_chunks(vectors)
+    by_text = cut_lineage(bm25(chunk_texts(chunks, files), "chunk_id", F.col("text"), query, 30))
     symbol = resolve_symbol(entities, query, 20).select("id", (-F.col("rank")).cast("double").alias("score"))
-    keyword = keyword_overlap(entities, query)
-    first = ranked(symbol, "id", "symbol").unionByName(ranked(keyword, "id", "keyword"))
-    seeds = first.groupBy("id").agg(F.min("position").alias("p")).orderBy("p", "id").limit(5).select("id", (-F.col("p")).cast("double").alias("score"))
-    signals = first.unionByName(ranked(graph_signal(seeds, entities, rels), "id", "graph")).unionByName(ranked(proximity_signal(seeds, entities), "id", "proximity"))
+    keyword = keyword_signal(entities, of_entities(by_text, chunks, entities).select("id", "score"), query)
+    semantic = semantic_signal(entities, chunks, by_text)
+    first = cut_lineage(ranked(symbol, "id", "symbol").unionByName(ranked(keyword, "id", "keyword")).unionByName(ranked(semantic, "id", "semantic")))
+    seeds = seeds_of(first)
+    signals = first.unionByName(placed(graph_signal(seeds, entities, rels, None), "graph")).unionByName(ranked(proximity_signal(seeds, entities), "id", "proximity"))
     weights = dict(WEIGHTS)
     if not re.search(tx.IDENTIFIER_HINT, query):
         weights |= {"keyword": WEIGHTS["keyword"] * 0.8, "semantic": WEIGHTS["semantic"] * 1.3}

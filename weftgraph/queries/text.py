@@ -93,7 +93,7 @@ QUERIES = {
     "keyword_overlap": lambda s, d: search.keyword_overlap(entities(s, d), QUERY),
     "cosine_topk": lambda s, d: search.nearest(load(s, d, "embeddings"), "vec_id", "embedding", _query_vector(s, d), 30),
     "rrf_fusion": lambda s, d: _fused(s, d).select("id", "score", F.array_join("signals", ",").alias("signals")),
-    "hybrid_search": lambda s, d: search.hybrid(entities(s, d), relationships(s, d), _churn(s, d), "ledger " + SYMBOL),
+    "hybrid_search": lambda s, d: search.hybrid(entities(s, d), relationships(s, d), _churn(s, d), load(s, d, "vectors"), load(s, d, "files"), "ledger " + SYMBOL),
     "proximity": lambda s, d: search.proximity_signal(search.resolve_symbol(entities(s, d), PART, 5).select("id"), entities(s, d)).select("id"),
     "graph_expansion": lambda s, d: search.graph_signal(search.resolve_symbol(entities(s, d), PART, 5).select("id", (-F.col("rank")).cast("double").alias("score")), entities(s, d), relationships(s, d)),
     "ladder_resolution": lambda s, d: ladder.resolve_calls(*_calls(s, d)),
