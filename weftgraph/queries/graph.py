@@ -49,6 +49,7 @@ def _churn(s: SparkSession, d: str) -> DataFrame:
 
 
 CHURN = "churn as (select repo_id, path, count(distinct indexed_at) as commits from files group by repo_id, path)"
+SYMBOL_SET = "(" + ", ".join(map(repr, SYMBOL_KINDS)) + ")"
 CALLABLES = "('function', 'method', 'test', 'legacy_program', 'paragraph')"
 COUNTS = f"""pairs as (select src_id, dst_id, bool_or({RESOLVED}) as resolved from rel where type = 'calls' and not pruned group by 1, 2),
 counts as (select coalesce(a.id, b.id, c.id) as id, coalesce(callers, 0) as callers, coalesce(candidates, 0) as candidates, coalesce(callees, 0) as callees, coalesce(tests, 0) as tests
@@ -105,9 +106,11 @@ QUERIES = {
     "impact_counts": lambda s, d: impact.call_counts(relationships(s, d)),
     "completeness_level": lambda s, d: impact.completeness(impact.call_counts(relationships(s, d))),
     "risk_score": lambda s, d: impact.risk(*_er(s, d), _churn(s, d)),
-    "tests_for_symbol": lambda s, d: impact.test_callers(*_er(s, d)),
+    "tests_for_symbol": lambda s, d: impact.test_callers(*_er(s, d), by_name=False),
+    "tests_and_names_for_symbol": lambda s, d: impact.test_callers(*_er(s, d)),
     "lineage": lambda s, d: impact.lineage(relationships(s, d)),
     "overrides": lambda s, d: impact.overrides(*_er(s, d)),
+    "override_groups": lambda s, d: impact.override_groups(*_er(s, d)),
     "schema_violations": lambda s, d: schema.violations(relationships(s, d), entities(s, d)),
     "edge_ordinal": lambda s, d: g.edge_ordinals(relationships(s, d)),
     "dedupe_union": lambda s, d: upserts.latest(load(s, d, "relationships").withColumn("id", F.expr("trim(id)")), ["id"], ["indexed_at", "received_at"]).select("id", "indexed_at", "received_at"),
@@ -193,10 +196,18 @@ SQL = {
     "tests_for_symbol": over("ent", "rel", body="""select id, test_id, max(confidence) as confidence, arg_max(via, confidence) as via from (
         select dst_id as id, src_id as test_id, 1.0::double as confidence, 'edge' as via from rel where type = 'tests'
         union all select r.dst_id, r.src_id, 0.9, 'call' from rel r join ent e on e.id = r.src_id where r.type = 'calls' and not pruned and e.kind = 'test') group by 1, 2"""),
+    "tests_and_names_for_symbol": over("ent", "rel", r"simple as (select id, repo_id, lower(regexp_extract(rtrim(qualified_name, '.'), '([^.]*)$', 1)) as name from ent where kind in " + SYMBOL_SET + ")", body="""select id, test_id, max(confidence) as confidence, arg_max(via, confidence) as via from (
+        select dst_id as id, src_id as test_id, 1.0::double as confidence, 'edge' as via from rel where type = 'tests'
+        union all select r.dst_id, r.src_id, 0.9, 'call' from rel r join ent e on e.id = r.src_id where r.type = 'calls' and not pruned and e.kind = 'test'
+        union all select s.id, t.id, 0.6, 'name' from simple s join ent t on t.repo_id = s.repo_id and t.kind = 'test' and s.name <> '' and contains(lower(t.name), s.name)) group by 1, 2"""),
     "lineage": over("rel", body="select distinct src_id as id, type, dst_id as data_id from rel where type in ('reads', 'writes', 'maps_to')"),
     "overrides": over("ent", "rel", "up as (select distinct src_id as sub, dst_id as base from rel where type in ('extends', 'implements'))", "pairs as (select sub as c1, base as c2, 'base' as relation from up union all select base, sub, 'subclass' from up)",
         r"own as (select m.id, m.name, c.id as class_id from ent m join ent c on c.repo_id = m.repo_id and c.qualified_name = regexp_replace(m.qualified_name, '\.[^.]*$', '') where m.kind = 'method' and c.kind in ('class', 'interface'))",
         body="select distinct a.id, b.id as other_id, p.relation from pairs p join own a on a.class_id = p.c1 join own b on b.class_id = p.c2 and b.name = a.name where a.id <> b.id"),
+    "override_groups": over("ent", "rel", "up as (select distinct src_id as class_id, dst_id as base_id from rel where type in ('extends', 'implements') and dst_id in (select id from ent))",
+        r"own as (select m.id, m.name, c.id as class_id from ent m join ent c on c.repo_id = m.repo_id and c.qualified_name = regexp_replace(m.qualified_name, '\.[^.]*$', '') where m.kind = 'method' and c.kind in ('class', 'interface'))",
+        "members as (select distinct base_id, name, id, class_id from up join own using (class_id))",
+        body="select * from members a where exists (select 1 from members b where b.base_id = a.base_id and b.name = a.name and b.class_id <> a.class_id)"),
     "schema_violations": over("ent", "rel", f"allowed as (select * from {ALLOWED_SQL})", """ends as (select r.id, r.type, 'src' as "end", e.kind from rel r join ent e on e.id = r.src_id union all select r.id, r.type, 'dst', e.kind from rel r join ent e on e.id = r.dst_id)""",
         body="""select id, type, "end", kind from ends x where exists (select 1 from allowed a where a.type = x.type and a."end" = x."end") and not exists (select 1 from allowed a where a.type = x.type and a."end" = x."end" and a.kind = x.kind)"""),
     "edge_ordinal": over("rel", body="select id, (row_number() over (partition by type, src_id, dst_id order by start_line nulls first, id) - 1)::int as ordinal from rel"),
