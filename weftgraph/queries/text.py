@@ -24,10 +24,13 @@ def _churn(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "files").select("repo_id", "path", "indexed_at").distinct().groupBy("repo_id", "path").agg(F.count("*").alias("commits"))
 
 
-def _calls(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls, symbols and imports of the stored graph as the ladder takes them; a call is known by the name at the end of its target."""
+def _calls(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Calls, symbols, imports and ancestors of classes of the stored graph as the ladder takes them; a call is known by the name at the end of its target.
+
+    Receivers are not stored, so the rungs that need one (through self, inferred) cannot hold. Classes go by qualified name.
+    """
     e = entities(s, d).where("not missing and not external")
-    of_class = F.when(F.col("kind") == "method", F.regexp_extract("qualified_name", r"([^.]+)\.[^.]+$", 1))
+    of_class = F.when(F.col("kind") == "method", F.regexp_extract("qualified_name", r"^(.+)\.[^.]+$", 1))
     symbols = e.where("kind in ('function', 'method', 'test', 'legacy_program', 'paragraph')").select("id", "repo_id", "name", "module", of_class.alias("class_name"))
     rels = relationships(s, d)
     last = F.regexp_extract("dst_id", r"([^.:]+)$", 1)
@@ -37,7 +40,10 @@ def _calls(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     calls = calls.select("call_id", "repo_id", "name", "module", "class_name", F.lit(None).cast("string").alias("receiver"), F.lit(None).cast("string").alias("receiver_type"))
     modules = e.where("kind = 'module'").select("id", "repo_id", F.col("qualified_name").alias("module"))
     imports = rels.where("type = 'imports'").select("src_id", "dst_id").join(modules.withColumnRenamed("id", "src_id"), "src_id").join(modules.select(F.col("id").alias("dst_id"), F.col("module").alias("imported")), "dst_id")
-    return calls, symbols, imports.select("repo_id", "module", "imported").distinct()
+    classes = e.where("kind in ('class', 'interface')").select("id", "repo_id", F.col("qualified_name").alias("class_name"))
+    above = classes.select(F.col("id").alias("ancestor_id"), "repo_id", F.col("class_name").alias("ancestor"))
+    closure = g.ancestors(rels).select("id", F.col("ancestor").alias("ancestor_id")).join(classes, "id").join(above, ["ancestor_id", "repo_id"])
+    return calls, symbols, imports.select("repo_id", "module", "imported").distinct(), closure.select("repo_id", "class_name", "ancestor").distinct()
 
 
 def _delta(s: SparkSession, d: str) -> DataFrame:
