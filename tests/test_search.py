@@ -1,5 +1,6 @@
 """The fused search: every signal, seeds of each of them, and all neighbours of a hot seed."""
 
+from weftgraph.operators import graph as g
 from weftgraph.plans import search
 
 ENT = "id string, kind string, name string, qualified_name string, repo_id string, path string, start_line int, end_line int, missing boolean, docstring string"
@@ -44,3 +45,26 @@ def test_positions_of_a_large_signal_are_whole(spark):
     got = {x["id"]: x["position"] for x in search.placed(signal, "graph").collect()}
     order = sorted(((str(n), float(n % 7)) for n in range(1000)), key=lambda x: (-x[1], x[0]))
     assert got == {i: p for p, (i, _) in enumerate(order)}
+
+
+def test_every_query_vector_has_its_nearest_rows(spark):
+    rows = [(n, [float(n % 5) + 1, float(n % 3)]) for n in range(40)]
+    v = spark.createDataFrame(rows, "id long, x array<double>").repartition(3)
+    got = search.nearest_each(v, "id", "x", v.where("id % 10 = 0").selectExpr("id as query", "x as q"), 4).collect()
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b))
+    cos = lambda a, b: round(dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5, 6)
+    expected = {(k, i) for k, q in rows if k % 10 == 0 for _, i in sorted((-cos(x, q), i) for i, x in rows)[:4]}
+    assert {(r["query"], r["id"]) for r in got} == expected and len(got) == 16
+
+
+def test_trees_at_their_default_depth(spark):
+    edges = [("e1", "a", "b"), ("e2", "b", "c"), ("e3", "d", "b"), ("e0", "b", "c"), ("e4", "c", "e"), ("e5", "a", "d")]
+    r = spark.createDataFrame([(i, "calls", a, b) for i, a, b in edges], "id string, type string, src_id string, dst_id string")
+    near, seen, expected = {"a"}, {"a"}, set()
+    for depth in (1, 2):
+        steps = [(b if a in near else a, i, a if a in near else b) for i, x, y in edges for a, b in ((x, y),) if (a in near) != (b in near) and (b if a in near else a) not in seen]
+        new = {n for n, _, _ in steps}
+        expected |= {("a", n, *min((i, p) for m, i, p in steps if m == n)[::-1], depth) for n in new}
+        seen |= new
+        near = new
+    assert {(x["root"], x["id"], x["parent"], x["edge_id"], x["depth"]) for x in g.tree_edges(r, spark.createDataFrame([("a",)], "id string")).collect()} == expected

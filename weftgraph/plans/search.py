@@ -153,6 +153,17 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, limit:
     return scored.where("score is not null").orderBy(F.desc("score"), key).limit(limit)
 
 
+def nearest_each(vectors: DataFrame, key: str, vector: str, queries: DataFrame, limit: int = 30) -> DataFrame:
+    """(query, key, score): for every query (a table of ``query`` and ``q``) the rows most similar to it, by cosine; ties go by key.
+
+    Both tables meet block by block, and each block keeps no more than ``limit`` rows a query before any shuffle.
+    """
+    scored = vectors.select(key, vector).crossJoin(queries.select("query", "q").hint("shuffle_replicate_nl"))
+    scored = scored.select("query", key, F.round(cosine(F.col(vector), F.col("q")), 6).alias("score")).where("score is not null")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return scored.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+
+
 def ranked(signal: DataFrame, key: str, name: str) -> DataFrame:
     """(id, signal, position): a scored signal of at most some tens of rows as positions from 0."""
     return signal.select(F.col(key).alias("id"), F.lit(name).alias("signal"), (F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1).alias("position"))

@@ -90,6 +90,7 @@ QUERIES = {
     "bfs_depth3": lambda s, d: g.reach(r := relationships(s, d), _starts(r, "src_id"), "out", ("calls", "references"), 3),
     "neighbourhood_nodes": lambda s, d: g.reach(r := relationships(s, d), _starts(r, "src_id"), "both", None, 2),
     "neighbourhood_tree": lambda s, d: g.tree_edges(r := relationships(s, d), _starts(r, "src_id"), 1),
+    "neighbourhood_tree_depth2": lambda s, d: g.tree_edges(r := relationships(s, d), _starts(r, "src_id")),
     "ancestor_closure": lambda s, d: g.ancestors(relationships(s, d)),
     "flow_edges": lambda s, d: g.flow(r := relationships(s, d), _starts(r, "src_id", ("runs", "invokes")), 3),
     "trigger_discovery": lambda s, d: g.triggers(r := relationships(s, d), entities(s, d), _starts(r, "dst_id", ("reads", "runs", "invokes")), 4),

@@ -98,6 +98,7 @@ QUERIES = {
     "postings": lambda s, d: search.postings(load(s, d, "documents"), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")),
     "keyword_overlap": lambda s, d: search.keyword_overlap(entities(s, d), QUERY),
     "cosine_topk": lambda s, d: search.nearest(load(s, d, "embeddings"), "vec_id", "embedding", _query_vector(s, d), 30),
+    "cosine_topk_each": lambda s, d: search.nearest_each(e := load(s, d, "embeddings"), "vec_id", "embedding", e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))),
     "rrf_fusion": lambda s, d: _fused(s, d).select("id", "score", F.array_join("signals", ",").alias("signals")),
     "hybrid_search": lambda s, d: search.hybrid(entities(s, d), relationships(s, d), _churn(s, d), load(s, d, "vectors"), load(s, d, "files"), "ledger " + SYMBOL),
     "proximity": lambda s, d: search.proximity_signal(search.resolve_symbol(entities(s, d), PART, 5).select("id"), entities(s, d)).select("id"),
@@ -156,6 +157,8 @@ SQL = {
     "bm25_topk": f"with {BM25} select * from bm",
     "postings": f"with p as (select doc_id, unnest({_TERMS}) as term from documents) select term, count(distinct doc_id) as df, count(*) as cf from p group by term",
     "cosine_topk": f"with {NEAR} select * from near",
+    "cosine_topk_each": """select query, vec_id, score from (select *, row_number() over (partition by query order by score desc, vec_id) as r from (
+      select q.vec_id as query, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % 100 = 0)) where r <= 30""",
     "rrf_fusion": f"""with {BM25}, {NEAR}, ranked as (select doc_id as id, 'keyword' as signal, row_number() over (order by score desc, doc_id) as r from bm union all select vec_id, 'semantic', row_number() over (order by score desc, vec_id) from near)
       select id, round(sum(1.0 / (60 + r)), 8) as score, string_agg(signal, ',' order by signal) as signals from ranked group by id""",
     "proximity": over("ent", RESOLVE, "seeds as (select id from resolved_symbols where rank <= 5)", "paths as (select distinct repo_id, path from ent join seeds using (id) where path is not null and path <> '')",
