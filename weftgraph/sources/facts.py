@@ -22,16 +22,17 @@ def source_lines(files: DataFrame, *languages: str) -> DataFrame:
     return newest.select("repo_id", "path", "language", F.posexplode(lines(F.regexp_replace("content", "^﻿", ""))).alias("n", "text")).select("repo_id", "path", "language", (F.col("n") + 1).alias("line"), "text")
 
 
-def _fact(language: str, fact: str, pattern: str, name: int = 1, detail: int = 0, upper: bool = False) -> Column:
-    """A fact if the line matches; its name and detail are groups of the pattern."""
+def _fact(language: str, fact: str, pattern: str, name: int = 1, detail: int = 0, upper: bool = False, listed: bool = False) -> Column:
+    """The facts of every match in the line; name and detail are groups of the pattern. A ``listed`` name is several, parted by commas."""
     text = F.upper("text") if upper else F.col("text")
-    hit = (F.col("language") == language) & text.rlike(pattern)
-    second = F.regexp_extract(text, pattern, detail) if detail else F.lit("")
-    return F.when(hit, F.struct(F.lit(fact).alias("fact"), F.regexp_extract(text, pattern, name).alias("name"), second.alias("detail")))
+    every = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    names = F.filter(F.flatten(F.transform(every(name), lambda x: F.split(x, ","))), lambda x: x != "") if listed else every(name)
+    pairs = F.zip_with(names, every(detail), lambda x, y: F.struct(F.lit(fact).alias("fact"), x.alias("name"), F.coalesce(y, F.lit("")).alias("detail"))) if detail else F.transform(names, lambda x: F.struct(F.lit(fact).alias("fact"), x.alias("name"), F.lit("").alias("detail")))
+    return F.when((F.col("language") == language) & text.rlike(pattern), pairs)
 
 
 def _facts(rows: DataFrame, *facts: Column) -> DataFrame:
-    found = rows.select("repo_id", "path", "line", F.explode(F.array_compact(F.array(*facts))).alias("f"))
+    found = rows.select("repo_id", "path", "line", F.explode(F.flatten(F.array_compact(F.array(*facts)))).alias("f"))
     return found.select("repo_id", "path", "line", "f.fact", "f.name", "f.detail")
 
 
@@ -52,7 +53,7 @@ def mainframe_facts(files: DataFrame) -> DataFrame:
         _fact(c, "include", r"\bEXEC\s+SQL\s+INCLUDE\s+([A-Z0-9$#@-]+)", upper=True),
         _fact(c, "call", r"\bCALL\s+['\"]([A-Z0-9$#@-]+)['\"]", upper=True),
         _fact(c, "call-dynamic", r"\bCALL\s+([A-Z][A-Z0-9-]*)\b", upper=True),
-        _fact(c, "transfer", r"\bEXEC\s+CICS\s+(XCTL|LINK)\b.*PROGRAM\s*\(\s*['\"]?([A-Z0-9$#@-]+)", name=2, detail=1, upper=True),
+        _fact(c, "transfer", r"\bEXEC\s+CICS\s+(XCTL|LINK)\b.*?PROGRAM\s*\(\s*['\"]?([A-Z0-9$#@-]+)", name=2, detail=1, upper=True),
         _fact(c, "reads", r"\b(?:FROM|JOIN)\s+([A-Z][A-Z0-9_.]*)", upper=True),
         _fact(c, "writes", r"\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM)\s+([A-Z][A-Z0-9_.]*)", upper=True),
         _fact(c, "file", r"\bSELECT\s+([A-Z0-9-]+)\s+ASSIGN\s+(?:TO\s+)?([A-Z0-9-]+)", detail=2, upper=True),
@@ -63,8 +64,8 @@ def mainframe_facts(files: DataFrame) -> DataFrame:
         _fact(j, "procedure", r"^//([A-Z0-9$#@.]*)\s+EXEC\s+(?:PROC=)?([A-Z0-9$#@&]+)\s*(?:,|$)", name=2, detail=1, upper=True),
         _fact(j, "dataset", r"^//[A-Z0-9$#@.]*\s+DD\s+.*\bDSN(?:AME)?=([A-Z0-9$#@.&()+-]+)(?:.*\bDISP=\(?([A-Z]+))?", detail=2, upper=True),
         _fact(h, "section", r"^(\S+)\s+(CSECT|RSECT|START)\b", detail=2, upper=True),
-        _fact(h, "entry", r"^\S*\s+ENTRY\s+(\S+)", upper=True),
-        _fact(h, "extern", r"^\S*\s+W?EXTRN\s+(\S+)", upper=True),
+        _fact(h, "entry", r"^\S*\s+ENTRY\s+(\S+)", upper=True, listed=True),
+        _fact(h, "extern", r"^\S*\s+W?EXTRN\s+(\S+)", upper=True, listed=True),
         _fact(h, "call", r"^\S*\s+CALL\s+([A-Z0-9$#@]+)", upper=True),
         _fact(h, "call", r"=V\(([A-Z0-9$#@]+)\)", upper=True),
         _fact(h, "copy", r"^\S*\s+COPY\s+([A-Z0-9$#@]+)", upper=True),
@@ -110,12 +111,14 @@ def python_facts(files: DataFrame) -> DataFrame:
     placed = symbols.select("repo_id", "path", F.explode(with_outer).alias("x"))
     fact = F.when(F.col("x.word") == "class", "class").when(F.col("x.p.word") == "class", "method").when(F.col("x.name").startswith("test_"), "test").otherwise("function")
     found = placed.select("repo_id", "path", "x.line", fact.alias("fact"), "x.name", F.coalesce("x.p.name", F.lit("")).alias("detail"))
-    plain, given = r"^\s*import\s+([\w.]+)", r"^\s*from\s+([\w.]+)\s+import\s+(.*)$"
-    imports = each.where("word is null").select(
-        "repo_id", "path", "line", F.lit("import").alias("fact"),
-        F.when(F.col("text").rlike(given), F.regexp_extract("text", given, 1)).otherwise(F.regexp_extract("text", plain, 1)).alias("name"),
-        F.when(F.col("text").rlike(given), F.trim(F.regexp_extract("text", given, 2))).otherwise("").alias("detail"),
-    ).where("name <> ''")
+    # Statements of a line are parted by semicolons, the modules of an import by commas; comments are neither.
+    statement = each.where("word is null").select("repo_id", "path", "line", F.explode(F.split(F.regexp_extract("text", r"^([^#]*)", 1), ";")).alias("text"))
+    given = r"^\s*from\s+([\w.]+)\s+import\b\s*(.*)$"
+    whole = F.array(F.struct(F.regexp_extract("text", given, 1).alias("name"), F.trim(F.regexp_extract("text", given, 2)).alias("detail")))
+    modules = F.split(F.regexp_extract("text", r"^\s*import\s+(.*)$", 1), ",")
+    several = F.transform(modules, lambda m: F.struct(F.regexp_extract(m, r"^\s*([\w.]+)", 1).alias("name"), F.lit("").alias("detail")))
+    imports = statement.select("repo_id", "path", "line", F.explode(F.when(F.col("text").rlike(given), whole).otherwise(several)).alias("i"))
+    imports = imports.select("repo_id", "path", "line", F.lit("import").alias("fact"), "i.name", "i.detail").where("name <> ''")
     return found.unionByName(imports)
 
 
