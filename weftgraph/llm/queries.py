@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from ..tables import load
 from . import abuse, doc_pairs, machine_files, mixture, packing, similar_vectors, tokens
 
+#: The owner of the files in question, whose notices do not make them a third party's.
+IN_HOUSE = ("hollowpine systems",)
+
 QUERIES = {
-    "p4_found": lambda s, d: machine_files.machine_files(load(s, d, "files")).select("repo_id", "path"),
-    "p4_reasons": lambda s, d: machine_files.machine_files(load(s, d, "files")).select("repo_id", "path", F.array_join("reasons", ",").alias("reasons")),
+    "p4_found": lambda s, d: machine_files.machine_files(load(s, d, "files"), IN_HOUSE).select("repo_id", "path"),
+    "p4_reasons": lambda s, d: machine_files.machine_files(load(s, d, "files"), IN_HOUSE).select("repo_id", "path", F.array_join("reasons", ",").alias("reasons")),
     "p5_found": lambda s, d: doc_pairs.documented_functions(load(s, d, "files")).select("repo_id", "path", "name", "start_line").distinct(),
     "p5_pairs": lambda s, d: doc_pairs.documented_functions(load(s, d, "files")),
 }
