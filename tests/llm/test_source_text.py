@@ -177,3 +177,10 @@ def test_machine_files_table(spark):
     got = machine_files.machine_files(files(spark, rows)).collect()
     assert [(r["path"], list(r["reasons"])) for r in got] == [("dist/b.js", ["generated"])]
     assert machine_files.machine_files(files(spark, rows).where("false")).count() == 0
+
+
+def test_generics_of_any_length():
+    generics = ", ".join(f"T{n} extends Base{n}" for n in range(300))
+    text = f"/** Reads the entry of a key. */\nexport const readEntry = <{generics}>(a) => {{ return a; }}\nclass A {{ /** Adds the rows up. */\n  add<{generics}>(x: Map<string, {{a: number}}>): void {{ }} }}"
+    found = [s for s in source_spans.javascript_spans(text) if s.kind == "function"]
+    assert [(s.name, s.line) for s in found] == [("readEntry", 2), ("add", 4)] and found[0].text.endswith(">(a)")

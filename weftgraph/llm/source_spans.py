@@ -35,24 +35,23 @@ class Token(NamedTuple):
 
 _LINE_END = re.compile(r"\r\n|\r|\n")
 
+# Blanks before a token are part of its match. Names that operators join are one token, as only their being code matters.
 _PY_TOKEN = re.compile(
-    r"""(?P<comment>\#[^\r\n]*)
+    r"""[ \t\f﻿]*(?:(?P<comment>\#[^\r\n]*)
     |(?P<string>(?:\b[rRbBuUfFtT]{1,2})?(?:\"{3}(?:\\.|[^\\])*?\"{3}|'{3}(?:\\.|[^\\])*?'{3}|"(?:\\(?:\r\n|.)|[^"\\\r\n])*"|'(?:\\(?:\r\n|.)|[^'\\\r\n])*'))
-    |(?P<name>[^\W\d]\w*)
+    |(?P<name>[^\W\d]\w*(?:[ \t]*[.,=+*/%<>|&^~-]+[ \t]*[^\W\d]\w*(?![\w"']))*)
     |(?P<joined>\\(?:\r\n|\r|\n))
     |(?P<newline>\r\n|\r|\n)
-    |(?P<blank>[ \t\f﻿]+)
-    |(?P<op>->|:=|.)""",
+    |(?P<op>->|:=|[\w.,=+*/%<>|&^~-]+|.))""",
     re.X | re.S,
 )
 
 _JS_TOKEN = re.compile(
-    r"""(?P<comment>//[^\r\n]*|/\*(?:.*?\*/|.*\Z))
+    r"""[\s﻿]*(?:(?P<comment>//[^\r\n]*|/\*(?:.*?\*/|.*\Z))
     |(?P<string>"(?:\\(?:\r\n|.)|[^"\\\r\n])*"|'(?:\\(?:\r\n|.)|[^'\\\r\n])*')
     |(?P<name>\#?[^\W\d][\w$]*|\#?\$[\w$]*)
     |(?P<number>\d[\w.]*)
-    |(?P<blank>[\s﻿]+)
-    |(?P<op>=>|\?\.|\.\.\.|[=!]==?|&&|\|\||\?\?|\+\+|--|.)""",
+    |(?P<op>=>|\?\.|\.\.\.|[=!]==?|&&|\|\||\?\?|\+\+|--|.))""",
     re.X | re.S,
 )
 _JS_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(?P<stop>`|\$\{|\Z)", re.S)
@@ -73,8 +72,7 @@ class Lines:
 
 def python_spans(text: str) -> list[Span]:
     """Spans of a Python text. Functions lie at the end of their header, docstrings at their start."""
-    tokens = [Token(m.lastgroup, m.group(), m.start(), m.end()) for m in _PY_TOKEN.finditer(text)]
-    tokens = [t for t in tokens if t.kind not in ("blank", "comment", "joined")]
+    tokens = [Token(kind, m[kind], m.start(kind), m.end()) for m in _PY_TOKEN.finditer(text) if (kind := m.lastgroup) not in ("comment", "joined")]
     line, spans, n = Lines(text), [], len(tokens)
 
     def starts_line(i: int) -> bool:
@@ -163,32 +161,29 @@ def _literal(literal: str) -> str:
 
 def _js_tokens(text: str) -> Iterator[Token]:
     """Tokens of a JavaScript or TypeScript text, white space left out; templates come as strings."""
-    at, braces, before = 0, [], None
-    while at < len(text):
-        m = None
-        if text[at] == "/" and text[at : at + 2] not in ("//", "/*") and _regex_may_follow(before):
-            m = _JS_REGEX.match(text, at)
-        if m:
-            token = Token("string", m.group(), at, m.end())
-        elif text[at] == "`" or text[at] == "}" and braces and braces[-1] == "template":
-            if text[at] == "}":
-                braces.pop()
-            m = _JS_TEMPLATE.match(text, at + 1)
-            if m["stop"] == "${":
-                braces.append("template")
-            token = Token("string", text[at : m.end()], at, m.end())
-        else:
-            m = _JS_TOKEN.match(text, at)
-            token = Token(m.lastgroup, m.group(), at, m.end())
-            if token.text == "{":
+    at, braces, before, end = 0, [], None, len(text)
+    while at < end and (m := _JS_TOKEN.match(text, at)):
+        kind = m.lastgroup
+        token = Token(kind, m[kind], m.start(kind), m.end())
+        at = token.end
+        if kind == "op":
+            mark = token.text
+            if mark == "/" and _regex_may_follow(before) and (r := _JS_REGEX.match(text, token.start)):
+                token = Token("string", r.group(), token.start, r.end())
+            elif mark == "`" or mark == "}" and braces and braces[-1] == "template":
+                if mark == "}":
+                    braces.pop()
+                r = _JS_TEMPLATE.match(text, at)
+                if r["stop"] == "${":
+                    braces.append("template")
+                token = Token("string", text[token.start : r.end()], token.start, r.end())
+            elif mark == "{":
                 braces.append("plain")
-            elif token.text == "}" and braces:
+            elif mark == "}" and braces:
                 braces.pop()
-        at = token.end
-        if token.kind == "blank":
-            continue
+            at = token.end
         yield token
-        if token.kind != "comment":
+        if kind != "comment":
             before = token
 
 
@@ -210,17 +205,11 @@ def javascript_spans(text: str) -> list[Span]:
     every = list(_js_tokens(text))
     line, tokens = Lines(text), [t for t in every if t.kind != "comment"]
     n = len(tokens)
-    closer = _closers(tokens)
+    closer, angle = _closers(tokens)
     opener = {b: a for a, b in closer.items()}
 
     def skip_generics(i: int) -> int:
-        if i < n and tokens[i].text == "<":
-            depth = 0
-            for k in range(i, min(n, i + 200)):
-                depth += (tokens[k].text == "<") - (tokens[k].text == ">")
-                if depth == 0:
-                    return k + 1
-        return i
+        return angle.get(i, i - 1) + 1
 
     def skip_type(i: int, stop: str) -> int | None:
         """Past a type annotation at ``i``, if there is one, to the token ``stop``."""
@@ -307,7 +296,7 @@ def javascript_spans(text: str) -> list[Span]:
                 found[top(i, low)] = (t.text, i, i)
 
     spans = [
-        Span(tokens[a].start, "function", name, line(tokens[k].start), line(tokens[a].start), re.sub(r"\s+", " ", text[tokens[a].start : _signature_end(tokens, closer, last)]))
+        Span(tokens[a].start, "function", name, line(tokens[k].start), line(tokens[a].start), re.sub(r"\s+", " ", text[tokens[a].start : _signature_end(tokens, closer, angle, last)]))
         for a, (name, k, last) in found.items()
     ]
     spans += [Span(t.end, "doc", None, line(t.start), line(t.end - 1), t.text) for t in every if t.kind == "comment" and re.match(r"/\*\*[^*/]", t.text) and t.text.endswith("*/")]
@@ -326,13 +315,18 @@ def javascript_spans(text: str) -> list[Span]:
     return spans
 
 
-def _closers(tokens: list[Token]) -> dict[int, int]:
-    """The token that closes each bracket, of those that are closed by their own kind."""
-    pairs, stack, closes = {"(": ")", "[": "]", "{": "}"}, [], {}
+def _closers(tokens: list[Token]) -> tuple[dict[int, int], dict[int, int]]:
+    """The token that closes each bracket, of those that are closed by their own kind; and the same for angle brackets, which end where a bracket around them does."""
+    pairs, stack, angles, closes, ends = {"(": ")", "[": "]", "{": "}"}, [], [], {}, {}
     for i, t in enumerate(tokens):
         if t.kind != "op":
             continue
-        if t.text in pairs:
+        if t.text == "<":
+            angles.append(i)
+        elif t.text == ">":
+            if angles and (not stack or angles[-1] > stack[-1]):
+                ends[angles.pop()] = i
+        elif t.text in pairs:
             stack.append(i)
         elif t.text in _CLOSE:
             while stack and pairs[tokens[stack[-1]].text] != t.text:
@@ -340,12 +334,18 @@ def _closers(tokens: list[Token]) -> dict[int, int]:
                     break
                 stack.pop()
             if stack and pairs[tokens[stack[-1]].text] == t.text:
-                closes[stack.pop()] = i
-    return closes
+                start = stack.pop()
+                closes[start] = i
+                while angles and angles[-1] > start:
+                    angles.pop()
+    return closes, ends
 
 
-def _signature_end(tokens: list[Token], closer: dict[int, int], last: int) -> int:
-    for k in range(last, min(len(tokens), last + 40)):
+def _signature_end(tokens: list[Token], closer: dict[int, int], angle: dict[int, int], last: int) -> int:
+    """The end of the parameters of the function whose name is at ``last``."""
+    k = last + 1
+    while k < len(tokens) and tokens[k].text not in ("{", "}", ";", "=>"):
         if tokens[k].text == "(" and k in closer:
             return tokens[closer[k]].end
+        k = angle.get(k, k) + 1
     return tokens[last].end
