@@ -53,6 +53,14 @@ def test_packing_edges(spark):
     assert packing.pack(t, packs.where("false")).count() == 0
 
 
+def test_more_packs_than_one_batch(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PACK_BATCH", 2)
+    sizes = {d: d % 7 + 1 for d in range(60)}
+    t = sized(spark, [(d, "s", d, n) for d, n in sizes.items()])
+    packs = {f"p{n}": n + 5 for n in range(5)}
+    check_packing(packing.pack(t, spark.createDataFrame(list(packs.items()), PACKS)).collect(), sizes, packs)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), min_size=1), st.integers(1, 8))
 def test_configurations_use_every_document_once(histogram, groups):
@@ -101,6 +109,21 @@ def test_mixture_meets_budgets(spark):
     assert all(rows[d][1] not in ("none", None) for d in copies)
 
 
+def test_cut_runs_through_all_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "RANGE_BITS", 1)
+    rows = [(d, "a", d, 1 + d % 3) for d in range(500)]
+    for total in (1, 333, 500, 1998):
+        copies, _ = mix(spark, rows, [("a", 1.0, 2)], total)
+        drawn = sum(n * (1 + d % 3) for d, n in copies.items())
+        assert total - 3 < drawn <= total
+
+
+def test_feasible_total_keeps_the_shares(spark):
+    rows = [(d, "ab"[d % 4 == 0], d, 10) for d in range(400)]
+    _, shares = mix(spark, rows, [("a", 0.2, 1), ("b", 0.6, 2), ("none", 0.2, 1)], mixture.FEASIBLE)
+    assert shares["b"]["drawn_tokens"] == 2000 and abs(shares["a"]["drawn_tokens"] - 2000 / 3) < 10 and shares["none"]["drawn_tokens"] == 0
+
+
 def test_equal_texts_repeat_as_one(spark):
     copies, _ = mix(spark, [(5, "a", 1, 10), (3, "a", 1, 10), (9, "a", 1, 10)], [("a", 1.0, 2)], 1000)
     assert copies == {3: 2}

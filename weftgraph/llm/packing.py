@@ -9,6 +9,7 @@ best fit into what is left, in shards of bounded size.
 from __future__ import annotations
 
 import bisect
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,11 @@ GROUPS = 96
 RANGES = 256
 #: Small documents, or containers with room, that one task fits at most (on average).
 SHARD = 20_000
-#: Rows of pack_sizes at most: their number of copies of every document is made.
-MAX_PACKS = 100
+#: Packs that one plan fills, each with a copy of every document; more are filled one batch after the other.
+PACK_BATCH = 100
+
+
+SCHEMA = "pack_name string, container string, doc_id long, piece long, n_tokens long"
 
 
 def pieces(sizes: DataFrame, packs: list[tuple[str, int]]) -> DataFrame:
@@ -114,12 +118,14 @@ def pack(sizes: DataFrame, pack_sizes: DataFrame) -> DataFrame:
     null name or without capacity are no packs, and of a name given twice the larger holds.
     """
     spark = sizes.sparkSession
-    packs = [(r[0], r[1]) for r in pack_sizes.where("pack_name is not null and capacity > 0").groupBy("pack_name").agg(F.max("capacity")).orderBy("pack_name").limit(MAX_PACKS + 1).collect()]
-    if len(packs) > MAX_PACKS:
-        raise ValueError(f"more than {MAX_PACKS} packs")
-    schema = "pack_name string, container string, doc_id long, piece long, n_tokens long"
+    packs = [(r[0], r[1]) for r in pack_sizes.where("pack_name is not null and capacity > 0").groupBy("pack_name").agg(F.max("capacity")).orderBy("pack_name").collect()]  # a row for each pack
     if not packs:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], SCHEMA)
+    return reduce(DataFrame.unionByName, (_pack_batch(sizes, packs[k : k + PACK_BATCH]) for k in range(0, len(packs), PACK_BATCH)))
+
+
+def _pack_batch(sizes: DataFrame, packs: list[tuple[str, int]]) -> DataFrame:
+    spark = sizes.sparkSession
     items = pieces(sizes, packs)
     full = items.where("n_tokens = capacity").select("pack_name", F.concat(F.lit("whole/"), F.col("doc_id"), F.lit("/"), F.col("piece")).alias("container"), "doc_id", "piece", "n_tokens")
     rest = items.where("n_tokens < capacity")
@@ -174,7 +180,7 @@ def pack(sizes: DataFrame, pack_sizes: DataFrame) -> DataFrame:
         container = [names[k] if k < len(names) else f"small/{shard}/{k - len(names)}" for k in place]
         return docs[["pack_name", "doc_id", "piece", "n_tokens"]].assign(container=container).astype({"doc_id": "int64", "piece": "int64"})[["pack_name", "container", "doc_id", "piece", "n_tokens"]]
 
-    fitted = both.groupBy("pack_name", "shard").applyInPandas(best_fit, schema)
+    fitted = both.groupBy("pack_name", "shard").applyInPandas(best_fit, SCHEMA)
     return put.select("pack_name", F.concat(F.lit("large/"), F.col("c")).alias("container"), "doc_id", "piece", "n_tokens").unionByName(fitted).unionByName(full)
 
 
