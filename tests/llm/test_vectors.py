@@ -101,3 +101,27 @@ def test_unusable_rows_and_empty_tables(spark):
     assert {r["chunk_id"] for r in sv.usable(t).collect()} == {"a", "b", "k"}
     assert [tuple(r) for r in sv.mutual_pairs(t).collect()] == [("a", "b")]
     assert sv.mutual_pairs(t.where("false")).count() == 0 and sv.neighbours(t.where("false")).count() == 0
+
+
+def test_many_cells_are_fitted_in_two_levels(spark, clustered, monkeypatch):
+    monkeypatch.setattr(sv, "BLOCK", 100)
+    monkeypatch.setattr(sv, "ONE_LEVEL", 4)
+    reps = sv.usable(table(spark, clustered))
+    cells = sv.fit_cells(reps, None)
+    assert set(cells) == {("m0", 48), ("m1", 48)} and all(len(c.centroids) > 4 for c in cells.values())
+    got = {(r[0], r[1]) for r in sv.mutual_pairs(table(spark, clustered)).collect()}
+    want = pairs_of(brute(clustered, 10), 0.9)
+    assert len(got & want) >= 0.95 * len(want) and got <= want
+
+
+def test_big_classes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sv, "BIG_CLASS", 10)
+    rng = np.random.default_rng(2)
+    same, rows = rng.normal(size=16), {}
+    for n in range(80):
+        rows["m", f"c{n:03}"] = same if n % 2 else rng.normal(size=16)
+    got = {}
+    for r in sv.neighbours(table(spark, rows), k=3).collect():
+        got.setdefault(r["chunk_id"], {})[r["rank"]] = r["neighbour"]
+    best = brute(rows, 3)
+    assert all([got[i][n] for n in (1, 2, 3)] == [j for j, _ in best["m", i]] for _, i in rows)

@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from ..tables import clean_id
 
-#: Vectors of each model that the cells are fitted on at most; chosen by hash.
+#: Vectors of each model that the cells are fitted on, about; chosen by hash. Beyond ONE_LEVEL cells there are SAMPLE_PER_CELL for each.
 FIT_SAMPLE = 16_384
+ONE_LEVEL, SAMPLE_PER_CELL = 1024, 16
+#: Members of a class of equal vectors from which its queries are spread over several tasks, each of about so many.
+BIG_CLASS = 100_000
 #: Rows of a cell that one task compares at once with as many queries; larger cells are split.
 BLOCK = 4096
 #: Standard errors of the estimate within which a vector counts as possible: 3 lose about 1 vector in 10^3, 1.9 about 3 in 10^2.
@@ -74,11 +77,8 @@ def estimate(q: np.ndarray, centroid: np.ndarray, turn: np.ndarray, code: tuple,
     step = np.maximum((turned.max(1) - low) / (2**QUERY_BITS - 1), 1e-12)
     level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
     ones = np.bitwise_count(bits).sum(1).astype(np.float32)
-    total = np.zeros((len(q), len(bits)), np.float32)
-    for j in range(QUERY_BITS):
-        plane = _pack((level >> j) & 1)
-        for w in range(bits.shape[1]):
-            total += np.bitwise_count(plane[:, w, None] & bits[None, :, w]) * np.float32(2**j)
+    # The levels of the query times the bits, summed: what popcounts over the query's bit planes give, as one product of small whole numbers.
+    total = level.astype(np.float32) @ np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1, bitorder="little").astype(np.float32).T
     total *= (2 * step)[:, None].astype(np.float32)
     total += (2 * low)[:, None].astype(np.float32) * ones
     total -= turned.sum(1)[:, None].astype(np.float32)
@@ -102,19 +102,56 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def fit_cells(reps: DataFrame, rows_per_cell: int | None) -> dict[tuple[str, int], Cells]:
-    """Cells of each model, by k-means over at most FIT_SAMPLE of its vectors; about sqrt(n), or n / rows_per_cell, of them."""
-    order = Window.partitionBy("model", "dim").orderBy("v1", "v2")
-    sample = reps.withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIT_SAMPLE).select("model", "dim", "vector")
-    sizes = {(r["model"], r["dim"]): r["count"] for r in reps.groupBy("model", "dim").count().collect()}
+    """Cells of each model: about sqrt(n), or n / rows_per_cell, of them, by k-means over a sample chosen by hash.
+
+    Models of at most BLOCK vectors have one cell and are not fitted, so there are no more fitted
+    models than the number of vectors over BLOCK. Many cells are fitted in two levels, the second in tasks of
+    which each has one part of the sample; what comes to the driver grows with the number of cells only.
+    """
+    sizes = {(r["model"], r["dim"]): r["count"] for r in reps.groupBy("model", "dim").count().where(F.col("count") > BLOCK).collect()}
+    if not sizes:
+        return {}
+    wanted = {key: int(np.ceil(n / rows_per_cell if rows_per_cell else np.sqrt(n))) for key, n in sizes.items()}
+
+    def sample(keys: list[tuple[str, int]], rows: dict[tuple[str, int], int]) -> DataFrame:
+        shares = reps.sparkSession.createDataFrame([(*k, min(1.0, rows[k] / sizes[k])) for k in keys], "model string, dim int, share double")
+        drawn = F.pmod(F.col("v1"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+        return reps.join(F.broadcast(shares), ["model", "dim"]).where(drawn).select("model", "dim", "vector")
+
     fitted = {}
-    for key, rows in sample.toPandas().groupby(["model", "dim"]):
-        x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        want = sizes[key] / rows_per_cell if rows_per_cell else np.sqrt(sizes[key])
-        fitted[key] = Cells(_means(x, int(max(1, min(1024, np.ceil(want), len(x) // 8)))))
+    for key, rows in sample(list(sizes), dict.fromkeys(sizes, FIT_SAMPLE)).toPandas().groupby(["model", "dim"]):
+        x = _unit(rows["vector"])
+        k = wanted[key] if wanted[key] <= ONE_LEVEL else int(np.ceil(np.sqrt(wanted[key])))
+        fitted[key] = Cells(_means(x, max(1, min(k, len(x) // 8))))
+    many = {key: n for key, n in wanted.items() if n > ONE_LEVEL and key in fitted}
+    if many:
+        fitted |= _second_level(sample(list(many), {k: SAMPLE_PER_CELL * n for k, n in many.items()}), {k: fitted[k] for k in many})
     return fitted
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _second_level(sample: DataFrame, coarse: dict[tuple[str, int], Cells]) -> dict[tuple[str, int], Cells]:
+    """Cells of the parts into which coarse cells divide a sample: one for every SAMPLE_PER_CELL vectors of a part."""
+    shared = sample.sparkSession.sparkContext.broadcast(coarse)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, rows in b.groupby(["model", "dim"]):
+                yield rows.assign(part=shared.value[key].nearest(_unit(rows["vector"]), 1)[:, 0].astype(np.int32))
+
+    def divide(rows: pd.DataFrame) -> pd.DataFrame:
+        centroids = _means(_unit(rows["vector"]), max(1, len(rows) // SAMPLE_PER_CELL))
+        return pd.DataFrame({"model": rows["model"].iloc[0], "dim": rows["dim"].iloc[0], "centroid": list(centroids)})
+
+    parts = sample.mapInPandas(part, "model string, dim int, vector array<float>, part int")
+    rows = parts.groupBy("model", "dim", "part").applyInPandas(divide, "model string, dim int, centroid array<double>")
+    return {key: Cells(np.stack(r["centroid"].to_numpy())) for key, r in rows.toPandas().groupby(["model", "dim"])}
+
+
 def _means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(0)
     centroids = x[np.sort(rng.choice(len(x), k, replace=False))].copy()
@@ -134,14 +171,15 @@ def similar_classes(reps: DataFrame, k: int, floor: float, probes: int | float,
     """
     spark = reps.sparkSession
     reps = cut_lineage(reps)
-    cells = spark.sparkContext.broadcast(fit_cells(reps, rows_per_cell))  # at most 1024 centroids a model
+    cells = spark.sparkContext.broadcast(fit_cells(reps, rows_per_cell))  # a row for each cell
+
+    def of(model: str, dim: int) -> Cells:
+        return cells.value.get((model, dim)) or Cells(np.zeros((1, dim)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for (model, dim), rows in b.groupby(["model", "dim"]):
-                own = cells.value[model, dim]
-                x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                own, x = of(model, dim), _unit(rows["vector"])
                 n = len(own.centroids)
                 near = own.nearest(x, max(1, int(np.ceil(probes * n))) if probes < 1 else int(probes))
                 unit = list(x.astype(np.float32))
@@ -162,13 +200,13 @@ def similar_classes(reps: DataFrame, k: int, floor: float, probes: int | float,
         model, dim, cell = group[0], int(group[1]), int(group[2])
         found = []
         if len(left) and len(right):
-            centroid, turn = cells.value[model, dim].centroids[cell], rotation(dim)
+            centroid, turn = of(model, dim).centroids[cell], rotation(dim)
             x, q = np.stack(left["unit"].to_numpy()).astype(np.float64), np.stack(right["asked_unit"].to_numpy()).astype(np.float64)
             code = encode(x, centroid, turn)
             ids, asks = left[["v1", "v2"]].to_numpy(), right[["asked_v1", "asked_v2"]].to_numpy()
-            rows = max(1, 1_000_000 // len(x))
+            rows, own = max(1, 1_000_000 // len(x)), _places(asks, ids)
             for a in range(0, len(q), rows):
-                found.append(_best(q[a : a + rows], asks[a : a + rows], x, ids, code, centroid, turn, k, floor, epsilon))
+                found.append(_best(q[a : a + rows], asks[a : a + rows], own[a : a + rows], x, ids, code, centroid, turn, k, floor, epsilon))
         columns = ["q1", "q2", "x1", "x2", "similarity"]
         out = pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="float64" if c == "similarity" else "int64") for c in columns})
         return out.assign(model=model, dim=dim)[["model", "dim", *columns]]
@@ -180,13 +218,17 @@ def similar_classes(reps: DataFrame, k: int, floor: float, probes: int | float,
     return pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
 
 
-def _best(q, asks, x, ids, code, centroid, turn, k, floor, epsilon) -> pd.DataFrame:
+def _places(asks: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where each of ``asks`` stands among the rows ``ids``, or -1."""
+    a, b = (pd.MultiIndex.from_arrays(t.T) for t in (asks, ids))
+    return b.get_indexer(a)
+
+
+def _best(q, asks, own, x, ids, code, centroid, turn, k, floor, epsilon) -> pd.DataFrame:
     """Exact similarities of the up to ``k`` best of ``x`` for each query; only what the bounds leave possible is computed."""
     guess, bound = estimate(q, centroid, turn, code, epsilon)
-    place = {(a, b): n for n, (a, b) in enumerate(ids.tolist())}
-    own = [(n, place[a, b]) for n, (a, b) in enumerate(asks.tolist()) if (a, b) in place]
-    if own:
-        guess[tuple(np.array(own).T)] = -99.0
+    at = np.flatnonzero(own >= 0)
+    guess[at, own[at]] = -99.0
     bar = np.full(len(q), floor, np.float32)
     if len(x) > k:
         bar = np.maximum(bar, np.partition(guess - bound, len(x) - k, axis=1)[:, len(x) - k])
@@ -222,7 +264,13 @@ def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, probes: int
     best = Window.partitionBy("model", "dim", "q1", "q2").orderBy(F.desc("similarity"), "neighbour")
     lists = lists.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("model", "dim", "q1", "q2", "neighbour", "similarity")
     asking = (rows if all_members else ranked).select("model", "dim", F.col("v1").alias("q1"), F.col("v2").alias("q2"), "chunk_id")
-    each = asking.join(lists, ["model", "dim", "q1", "q2"]).where("chunk_id <> neighbour")
+    # The queries of a big class are spread over parts, to each of which its list goes; there are no more big classes than rows over BIG_CLASS.
+    key = ["model", "dim", "q1", "q2"]
+    big = F.broadcast(asking.groupBy(*key).count().where(F.col("count") > BIG_CLASS).select(*key, F.ceil(F.col("count") / BIG_CLASS).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    asking = asking.join(big, key, "left").select(*key, "chunk_id", F.pmod(F.xxhash64("chunk_id"), parts).cast("int").alias("part"))
+    lists = lists.join(big, key, "left").select(*key, "neighbour", "similarity", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    each = asking.join(lists, [*key, "part"]).where("chunk_id <> neighbour")
     order = Window.partitionBy("model", "dim", "chunk_id").orderBy(F.desc("similarity"), "neighbour")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("model", "chunk_id", "rank", "neighbour", "similarity")
 
