@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import graph, ladder, metrics
 from .plans import impact, search
-from .tables import entities, load, relationships
+from .tables import canonical, load
 
 #: Stored tables that read-only SQL sees, and the canonical views made of them.
 TABLES = ("repositories", "files", "parsed_symbols", "entities", "relationships", "vectors", "documents")
@@ -20,7 +20,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        self.entities, self.relationships = entities(spark, folder), relationships(spark, folder)
+        self.entities, self.relationships = canonical(spark, folder, "entities"), canonical(spark, folder, "relationships")
 
     def table(self, name: str) -> DataFrame:
         return load(self.spark, self.folder, name)

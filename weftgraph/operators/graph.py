@@ -1,9 +1,12 @@
 """Neighbours, frontiers and closures over the edge table.
 
-Edges are one row per id (see ``tables.relationships``): id, type, src_id, dst_id, resolution,
-pruned and more. Every expansion is a join of a frontier with the edges; a visited set, kept as a
-table, ends it. Lineage is cut after each hop in the shared checkpoint folder. An empty frontier,
-an empty edge table or an unknown start gives the start alone or no rows.
+Edges are one row per id (see ``tables.canonical``): id, type, src_id, dst_id, resolution, pruned
+and more; as a stored table, each hop reads two columns of the edges of the wanted types. Every
+expansion is a join of a frontier with the edges; a visited set, kept as a table, ends it. Lineage
+is cut after each hop in the shared checkpoint folder. A frontier is broadcast, so that hubs are not
+gathered in one task, as long as a count of its stored rows finds it small; a larger one is joined
+by a shuffle. An empty frontier, an empty edge table or an unknown start gives the start alone or
+no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, if_small
 from ..tables import RESOLVED_LEVELS
 
 
@@ -37,19 +40,19 @@ def neighbours(entities: DataFrame, rels: DataFrame, starts: DataFrame, directio
     """(id, direction, type, edge_id, neighbour, neighbour_kind) of every start (a table with ``id``); edges to no entity are left out."""
     steps = directed(of_types(rels, types), direction)
     ends = entities.select(F.col("id").alias("neighbour"), F.col("kind").alias("neighbour_kind"))
-    hop = steps.join(starts.select(F.col("id").alias("a")).distinct(), "a").join(ends, F.col("b") == F.col("neighbour"))
+    few = if_small(cut_lineage(starts.select(F.col("id").alias("a")).distinct()))
+    hop = steps.join(few, "a").join(ends, F.col("b") == F.col("neighbour"))
     return hop.select(F.col("a").alias("id"), "direction", "type", "edge_id", "neighbour", "neighbour_kind")
 
 
 def reach(rels: DataFrame, starts: DataFrame, direction: str = "out", types: tuple[str, ...] | None = None, max_depth: int = 2) -> DataFrame:
     """(root, id, depth): everything within ``max_depth`` steps of each start (a table with ``id``), with its least depth; the start has depth 0."""
-    steps = directed(of_types(rels, types), direction).select("a", "b").distinct()
-    steps = cut_lineage(steps)
-    seen = starts.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0))
+    steps = directed(of_types(rels, types), direction).select("a", "b")
+    seen = cut_lineage(starts.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, max_depth + 1):
-        new = frontier.select("root", F.col("id").alias("a")).join(steps, "a").select("root", F.col("b").alias("id")).distinct()
-        frontier = cut_lineage(new.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = steps.join(if_small(frontier.select("root", F.col("id").alias("a"))), "a").select("root", F.col("b").alias("id")).distinct()
+        frontier = cut_lineage(new.join(if_small(seen), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -65,14 +68,14 @@ def call_graph(rels: DataFrame, starts: DataFrame, direction: str = "in", max_de
     """
     calls = rels.where("type = 'calls' and not pruned").withColumn("resolved", is_resolved())
     a, b = ("dst_id", "src_id") if direction == "in" else ("src_id", "dst_id")
-    steps = cut_lineage(calls.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.max("resolved").alias("resolved")))
-    seen = starts.select(F.col("id").alias("root"), "id").distinct().withColumns({"depth": F.lit(0), "resolved": F.lit(True)})
+    steps = calls.select(F.col(a).alias("a"), F.col(b).alias("b"), "resolved")
+    seen = cut_lineage(starts.select(F.col("id").alias("root"), "id").distinct().withColumns({"depth": F.lit(0), "resolved": F.lit(True)}))
     frontier, found = seen, None
     for depth in range(1, max_depth + 1):
         follow = steps if depth == 1 else steps.where("resolved")
-        hop = frontier.where("resolved").select("root", F.col("id").alias("a")).join(follow, "a")
+        hop = follow.join(if_small(frontier.where("resolved").select("root", F.col("id").alias("a"))), "a")
         hop = hop.groupBy("root", F.col("b").alias("id")).agg(F.max("resolved").alias("resolved"))
-        frontier = cut_lineage(hop.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)).select("root", "id", "depth", "resolved"))
+        frontier = cut_lineage(hop.join(if_small(seen), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)).select("root", "id", "depth", "resolved"))
         found = frontier if found is None else found.unionByName(frontier)
         if frontier.isEmpty():
             break
@@ -104,7 +107,7 @@ def tree_edges(rels: DataFrame, starts: DataFrame, max_depth: int = 2) -> DataFr
     near = reach(rels, starts, "both", None, max_depth)
     steps = directed(rels, "both")
     inner = near.select("root", F.col("id").alias("a"), F.col("depth").alias("before"))
-    hop = near.where("depth > 0").join(steps, F.col("id") == F.col("b")).join(inner, ["root", "a"]).where("before = depth - 1")
+    hop = steps.join(if_small(near.where("depth > 0")), F.col("id") == F.col("b")).join(if_small(inner), ["root", "a"]).where("before = depth - 1")
     return hop.groupBy("root", "id", "depth").agg(F.min(F.struct("edge_id", "a")).alias("e")).select("root", "id", F.col("e.a").alias("parent"), "e.edge_id", "depth")
 
 
@@ -112,17 +115,17 @@ def flow(rels: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
     """(root, src_id, dst_id, type, depth): calls, runs and invokes from each start, and the data and screens that the reached programs touch."""
     control = ("invokes", "runs", "calls")
     near = reach(rels, starts, "out", control, max_depth)
-    edges = of_types(rels, (*control, "reads", "writes", "uses")).where("not pruned").select("src_id", "dst_id", "type").distinct()
-    hop = near.select("root", F.col("id").alias("src_id"), "depth").join(edges, "src_id")
+    edges = of_types(rels, (*control, "reads", "writes", "uses")).where("not pruned").select("src_id", "dst_id", "type")
+    hop = edges.join(if_small(near.select("root", F.col("id").alias("src_id"), "depth")), "src_id")
     inside = F.col("type").isin("reads", "writes", "uses") | (F.col("depth") < max_depth)
-    return hop.where(inside).select("root", "src_id", "dst_id", "type", "depth")
+    return hop.where(inside).select("root", "src_id", "dst_id", "type", "depth").distinct()
 
 
 def triggers(rels: DataFrame, entities: DataFrame, starts: DataFrame, max_depth: int = 4) -> DataFrame:
     """(root, trigger, kind, depth): transactions, jobs and entry files from which each start is reached by calls, runs and invokes."""
     near = reach(rels, starts, "in", ("invokes", "runs", "calls"), max_depth)
     kinds = entities.where(F.col("kind").isin("transaction_code", "jcl_job")).select(F.col("id").alias("trigger"), "kind")
-    return near.where("depth > 0").join(kinds, F.col("id") == F.col("trigger")).select("root", "trigger", "kind", "depth")
+    return kinds.join(if_small(near.where("depth > 0")), F.col("id") == F.col("trigger")).select("root", "trigger", "kind", "depth")
 
 
 def fan_in(rels: DataFrame, types: tuple[str, ...] = ("calls",)) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_quality, graph, text
+from . import data_quality, graph, resolution, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (data_quality, graph, text)
+MODULES = (data_quality, graph, text, resolution)
 
 
 def queries() -> dict[str, Query]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as g
 from ..operators import intervals, metrics, schema, upserts
 from ..plans import impact
-from ..tables import SYMBOL_KINDS, entities, load, relationships
+from ..tables import SYMBOL_KINDS, canonical, load
 from .sql import RESOLVED, clean_id, over
 
 N_STARTS = 5
@@ -75,6 +75,14 @@ def _call_sql(a: str, b: str, depth: int) -> str:
     )
 
 
+def entities(s: SparkSession, d: str) -> DataFrame:
+    return canonical(s, d, "entities")
+
+
+def relationships(s: SparkSession, d: str) -> DataFrame:
+    return canonical(s, d, "relationships")
+
+
 QUERIES = {
     "scan_entities_by_kind": lambda s, d: entities(s, d).where("kind in ('function', 'method')").select("id", "name", "repo_id"),
     "scan_relationships_by_type": lambda s, d: g.of_types(relationships(s, d), ("calls", "imports")).select("id", "type", "src_id", "dst_id"),

@@ -12,7 +12,7 @@ from ..operators import control_flow, ladder, metrics, upserts
 from ..plans import evaluation, search
 from ..sources import facts, languages
 from ..streaming import windows
-from ..tables import entities, load, relationships
+from ..tables import canonical, load
 from .sql import RESOLVED, over
 
 QUERY = "reconcile ledger entry before the batch closes"
@@ -81,6 +81,14 @@ def _ranked_labels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ranked, golden
 
 
+def entities(s: SparkSession, d: str) -> DataFrame:
+    return canonical(s, d, "entities")
+
+
+def relationships(s: SparkSession, d: str) -> DataFrame:
+    return canonical(s, d, "relationships")
+
+
 QUERIES = {
     "tokenize": lambda s, d: load(s, d, "documents").select("doc_id", F.size(tx.tokenize("text")).alias("n_tokens"), F.array_join(tx.chunk_tokens("text", 5), " ").alias("first_tokens")),
     "split_identifier": lambda s, d: load(s, d, "parsed_symbols").select("name").where("name is not null").distinct().select("name", F.array_join(tx.split_identifier("name"), " ").alias("words")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", name: str = "weftgraph", **conf: str) -> SparkSession:
@@ -24,13 +25,32 @@ def local_session(cpus: int | str = "*", name: str = "weftgraph", **conf: str) -
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir`` for checkpoints and written tables.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; a folder of our own
-    is set only where that setting is absent, as in local tests.
+    Only a local session may go without; it gets a temporary folder of this machine. Elsewhere such
+    a folder would be a different one on each executor, so a missing setting is an error.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which a checked table is sent to every task.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a stored table that is cheap to count, marked for a broadcast join if it has at most ``rows`` rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

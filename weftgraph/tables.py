@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import shared_folder
+
 #: Every character that Python's ``\s`` matches; Java's and RE2's ``\s`` know fewer.
 WHITE_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]+"
 
@@ -47,6 +51,27 @@ def fingerprint(col: Column | str, prefix: str) -> list[Column]:
     ]
 
 
+#: Canonical tables that this process has written: (application, folder, table, stored files) -> path.
+_written: dict[tuple, str] = {}
+
+
+def canonical(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The canonical ``entities`` or ``relationships`` of a data folder, written once for each set of stored files.
+
+    Deduplication sorts and shuffles the largest table; so its result is stored in the shared folder,
+    sorted by kind or type within each file, and every query after the first reads only the columns
+    and row groups that it needs.
+    """
+    make, order = {"entities": (entities, ("kind", "repo_id")), "relationships": (relationships, ("type", "src_id"))}[name]
+    stored = load(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, tuple(sorted(stored.inputFiles())))
+    if key not in _written:
+        path = f"{shared_folder(spark)}/canonical/{uuid.uuid4().hex}/{name}"
+        make(spark, sf_dir).sortWithinPartitions(*order).write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest span of each entity id, with the hot attribute keys as columns.
 
