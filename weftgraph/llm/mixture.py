@@ -41,7 +41,7 @@ def _budgets(texts: DataFrame, targets: DataFrame, total: int | str | None) -> D
     b = targets.join(F.broadcast(available), "source", "left").fillna(0, ["available"])
     whole = Window.partitionBy()  # a row for each target
     if total == FEASIBLE:
-        can = F.when(F.col("available") > 0, F.floor(F.col("available") * F.col("max_repeats") / F.col("target_share")))
+        can = F.when(F.col("available") > 0, F.ceil(F.col("available") * F.col("max_repeats") / F.col("target_share")))
         everything = F.coalesce(F.min(can).over(whole), F.lit(0))
     else:
         everything = F.lit(total) if total is not None else F.sum("available").over(whole)

@@ -178,7 +178,9 @@ def _pack_batch(sizes: DataFrame, packs: list[tuple[str, int]]) -> DataFrame:
         place, _ = fill(docs["n_tokens"].astype(int).tolist(), room["n_tokens"].astype(int).tolist(), int(rows["capacity"].iloc[0]))
         names, shard = [f"large/{int(c)}" for c in room["c"]], rows["shard"].iloc[0]
         container = [names[k] if k < len(names) else f"small/{shard}/{k - len(names)}" for k in place]
-        return docs[["pack_name", "doc_id", "piece", "n_tokens"]].assign(container=container).astype({"doc_id": "int64", "piece": "int64"})[["pack_name", "container", "doc_id", "piece", "n_tokens"]]
+        # The type of the new column is stated, as a shard may have rooms and no documents.
+        out = docs.assign(container=pd.Series(container, index=docs.index, dtype=object)).astype({"doc_id": "int64", "piece": "int64"})
+        return out[["pack_name", "container", "doc_id", "piece", "n_tokens"]]
 
     fitted = both.groupBy("pack_name", "shard").applyInPandas(best_fit, SCHEMA)
     return put.select("pack_name", F.concat(F.lit("large/"), F.col("c")).alias("container"), "doc_id", "piece", "n_tokens").unionByName(fitted).unionByName(full)
