@@ -2,6 +2,8 @@
 
 import subprocess
 
+from pyspark.sql import functions as F
+
 from weftgraph.operators import control_flow as cf
 from weftgraph.sources import commits, repository, scip
 
@@ -57,8 +59,8 @@ def test_symbol_index(spark):
     frame = spark.createDataFrame([("i.scip", bytearray(index)), ("cut.scip", bytearray(index[:20])), ("none.scip", None)], "path string, content binary")
     found = scip.occurrences(frame)
     assert {tuple(r)[1:] for r in found.where("source = 'i.scip'").collect()} == {("a.py", 200, "sym f", True), ("b.py", 12, "sym f", False), ("b.py", 41, "sym f", False), ("b.py", 13, "sym none", False)}
-    spans = spark.createDataFrame([("a.py", 201, 210, "f"), ("b.py", 1, 50, "outer"), ("b.py", 10, 20, "inner")], "path string, start_line int, end_line int, span_id string")
-    assert {tuple(r) for r in scip.proven_edges(found, spans).collect()} == {("inner", "f", "b.py", 12), ("outer", "f", "b.py", 41)}
+    spans = spark.createDataFrame([("r", "a.py", 201, 210, "f"), ("r", "b.py", 1, 50, "outer"), ("r", "b.py", 10, 20, "inner"), ("q", "b.py", 11, 12, "elsewhere")], "repo_id string, path string, start_line int, end_line int, span_id string")
+    assert {tuple(r) for r in scip.proven_edges(found.withColumn("repo_id", F.lit("r")), spans).collect()} == {("r", "inner", "f", "b.py", 12), ("r", "outer", "f", "b.py", 41)}
 
 
 def test_hlasm_blocks(spark):

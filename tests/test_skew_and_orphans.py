@@ -70,3 +70,14 @@ def test_hot_keys_are_split_and_still_right(spark):
     got = orphans.orphans(orphans.references(refs, ("src_id",)), orphans.life_spans(life)).collect()
     assert len(got) == sum(1 for n in range(2000) if n % 6 not in (2, 3))
     assert {r["status"] for r in got} == {"late", "deleted"}
+
+
+def test_heavy_keys_of_a_sample(spark, monkeypatch):
+    from weftgraph.operators import skew
+
+    monkeypatch.setattr(skew, "SAMPLED", 20)
+    table = spark.range(40_000).selectExpr("case when id % 3 = 0 then 'hot' when id % 10 = 1 then 'warm' else concat('k', id) end as key", "cast(id as string) as v")
+    heavy = {r["key"]: r["weight"] for r in skew.heavy_keys(table, "key", 0.02).collect()}
+    assert set(heavy) == {"hot", "warm"} and 0.25 < heavy["hot"] < 0.42
+    counts = {r["key"]: r["n"] for r in count_by_key(table, "key", {"n": ["v"]}, 0.02).where("heavy or n > 1").collect()}
+    assert counts == {"hot": 13334, "warm": table.where("key = 'warm'").count()}

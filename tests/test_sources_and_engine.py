@@ -52,8 +52,10 @@ def test_text_functions(spark):
 
 def test_read_only_sql(spark, data):
     e = Engine(spark, data)
+    assert e.db_query("select 'a--b; drop table x' as x, count(*) as n from files").first()["x"] == "a--b; drop table x"
+    assert e.db_query("-- all\nselect count(*) as n from files").count() == 1
     assert e.db_query("with x as (select * from files) select count(*) as n from x;").first()["n"] > 0
-    for bad in ("drop table files", "select 1; select 2", "insert into files select 1", "with x as (select 1) insert into files select * from x", ""):
+    for bad in ("drop table files", "select 1; select 2", "insert into files select 1", "with x as (select 1) insert into files select * from x", "", f"select count(*) from parquet.`{data}/customer.parquet`", f"select (select count(*) from parquet.`{data}/customer.parquet`) as n from files"):
         with pytest.raises(ValueError):
             e.db_query(bad)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from .plans import impact, search
 from .tables import canonical, load
 
 #: Stored tables that read-only SQL sees, and the canonical views made of them.
-TABLES = ("repositories", "files", "parsed_symbols", "entities", "relationships", "vectors", "documents")
+TABLES = ("repositories", "files", "parsed_symbols", "entities", "relationships", "vectors", "documents", "embeddings", "events", "review_labels")
 
 
 class Engine:
@@ -86,16 +87,28 @@ class Engine:
         return "\n".join(out)
 
     def db_query(self, sql: str, limit: int | None = None) -> DataFrame:
-        """The rows of one SELECT or WITH statement over the stored tables; anything else is refused."""
-        text = re.sub(r"/\*.*?\*/|--[^\n]*", " ", sql, flags=re.S).strip().rstrip(";").strip()
-        if ";" in re.sub(r"'(?:[^']|'')*'", "", text) or not re.match(r"(?i)(select|with)\b", text):
+        """The rows of one SELECT or WITH statement over the stored tables; anything else is refused.
+
+        Texts and comments are left out where the statement is judged; which files it reads is asked of its plan.
+        """
+        if not re.match(r"(?is)\s*(?:--[^\n]*\n\s*|/\*.*?\*/\s*)*(select|with)\b", sql):
             raise ValueError("only one SELECT or WITH statement is allowed")
-        if re.search(r"(?i)\b(insert|update|delete|merge|drop|alter|create|truncate|replace|refresh|cache|uncache|set|add|load)\s+(into|table|view|from|overwrite|jar|file|data|database|schema|function|or)\b", re.sub(r"'(?:[^']|'')*'", "", text)):
+        # Without texts and comments, in which anything may stand; what Spark is given is the statement as it is.
+        named = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)
+        if re.search(r"(?i)\b(insert|update|delete|merge|drop|alter|create|truncate|replace|refresh|cache|uncache|set|add|load)\s+(into|table|view|from|overwrite|jar|file|data|database|schema|function|or)\b|;\s*\S", named):
             raise ValueError("only reading is allowed")
+        if re.search(r"(?i)\b\w+\s*\.\s*`[^`]*[/:]", named):
+            raise ValueError("only the stored tables may be read")
         for name in TABLES:
-            if re.search(rf"(?i)\b{name}\b", text):
+            if re.search(rf"(?i)\b{name}\b", sql):
                 self.table(name).createOrReplaceTempView(name)
-        rows = self.spark.sql(text)
+        try:
+            rows = self.spark.sql(sql.strip().rstrip(";"))
+        except ParseException as e:
+            raise ValueError(f"not one readable statement: {e.getCondition()}") from e
+        own = {f for name in TABLES if re.search(rf"(?i)\b{name}\b", sql) for f in self.table(name).inputFiles()}
+        if not set(rows.inputFiles()) <= own:
+            raise ValueError("only the stored tables may be read")
         return rows.limit(limit) if limit else rows
 
     def db_counts(self) -> DataFrame:

@@ -35,11 +35,13 @@ def band(points: DataFrame, spans: DataFrame, width: int = 1) -> DataFrame:
     return near.join(spans.select(*FILE, "start_line", "span_id"), [*FILE, "start_line"]).select(*FILE, "line", "point_id", "span_id", F.abs(F.col("line") - F.col("start_line")).alias("distance"))
 
 
-def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each point with the narrowest span of its file that covers its line, ties to the later start, then the least id: (repo_id, path, point_id, span_id). Uncovered points are left out."""
-    joined = points.join(spans, FILE).where("line between start_line and end_line")
-    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("w"), (-F.col("start_line")).alias("s"), "span_id")).alias("b")
-    return joined.groupBy(*FILE, "point_id").agg(best).select(*FILE, "point_id", F.col("b.span_id").alias("span_id"))
+def innermost(points: DataFrame, spans: DataFrame, keep_line: bool = False) -> DataFrame:
+    """Each point with the narrowest span of its file that covers its line, ties to the later start, then the least id: (repo_id, path, point_id, span_id). Uncovered points are left out.
+
+    Each line has one owner, so points and spans of a file meet by line and never all with all.
+    """
+    owners = line_owners(spans.join(points.select(*FILE).distinct(), FILE, "left_semi"))
+    return points.select(*FILE, "line", "point_id").join(owners, [*FILE, "line"]).select(*FILE, *(["line"] if keep_line else []), "point_id", "span_id")
 
 
 def line_owners(spans: DataFrame) -> DataFrame:

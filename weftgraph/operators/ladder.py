@@ -38,7 +38,9 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, clos
     classes = s.where("class_name is not null").groupBy(*by, "class_name").agg(F.min("id").alias("t_class"))
     c = calls.select("call_id", "repo_id", name, "module", "class_name", "receiver", "receiver_type").withColumn("own", F.col("receiver").isin("self", "this", "cls"))
 
-    imported = imports.select("repo_id", "module", F.col("imported")).distinct().join(module.select("repo_id", "name", F.col("module").alias("imported"), "n_module", "t_module"), ["repo_id", "imported"])
+    # Only names that are called in a module meet its imports, so a module that everything imports is not multiplied by all of its names.
+    asked = c.select("repo_id", "module", "name").distinct().join(imports.select("repo_id", "module", "imported").distinct(), ["repo_id", "module"])
+    imported = asked.join(module.select("repo_id", "name", F.col("module").alias("imported"), "n_module", "t_module"), ["repo_id", "name", "imported"])
     imported = imported.groupBy("repo_id", "module", "name").agg(F.sum("n_module").alias("n_imported"), F.min("t_module").alias("t_imported"))
     r = c.join(overall, by, "left").join(module, [*by, "module"], "left").join(imported, [*by, "module"], "left")
     inferred = classes.select(*by, F.col("class_name").alias("receiver_type"), F.col("t_class").alias("t_inferred"))

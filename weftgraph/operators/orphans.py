@@ -11,10 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import clean_id, fingerprint
-from .skew import heavy_keys
-
-#: Parts of a heavy key. A key with a third of all rows then is at most 1/192 of them in each part.
-PARTS = 64
+from .skew import heavy_keys, heavy_share
 
 
 def life_spans(entities: DataFrame) -> DataFrame:
@@ -37,12 +34,15 @@ def orphans(refs: DataFrame, spans: DataFrame) -> DataFrame:
     time but its key has spans. A span holds its start and not its end; a span with a null start or
     no length never lives. Null keys are no references. Repeated references come out once.
     """
-    hot = F.broadcast(heavy_keys(refs.select("key"), "key", 0.005))  # <= 200 rows at that share
-    part = F.when(F.col("heavy_no").isNotNull(), F.pmod(F.xxhash64("ref_id"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
+    share = heavy_share(refs)
+    # A heavy key has as many parts as it takes for each to hold no more than a key that is not heavy.
+    hot = heavy_keys(refs.select("key"), "key", share).select("key", F.ceil(F.col("weight") / share).cast("int").alias("parts"))
+    hot = F.broadcast(hot)  # at most 2 / share rows
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("ref_id"), F.col("parts")).cast("int")).otherwise(F.lit(0))
     r = refs.join(hot, "key", "left").select(
         *fingerprint("key", "k"), part.alias("part"), "t", F.lit(2).alias("event"), F.lit(0).alias("step"), "ref_id", "ref_column", "key"
     )
-    parts = F.when(F.col("heavy_no").isNotNull(), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    parts = F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))
     s = spans.join(hot, "key", "left").where("start is not null").select(*fingerprint("key", "k"), F.explode(parts).alias("part"), "start", "stop").distinct()
     real = F.col("stop").isNull() | (F.col("stop") > F.col("start"))
     # Event 0: a span without length, known but never alive; 1: a start or an end; 2: a reference. Ends and starts precede references of the same time.

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions import text as tx
 from ..operators import graph as g
-from ..operators import resolve, schema, versions, views
-from ..operators.metrics import lines
+from ..operators import chunks, resolve, schema, versions, views
+from ..operators.metrics import SUFFIXES, lines
 from ..tables import canonical, clean_id, load
 from .graph import RESOLVED, _starts, _starts_sql
 from .sql import clean_id as clean_id_sql
@@ -128,6 +128,9 @@ QUERIES = {
     "deleted_vectors": lambda s, d: versions.without_keys(load(s, d, "vectors"), load(s, d, "vectors").where("dim <> size(vector) or vector is null"), ["chunk_id"]).groupBy("model").agg(F.count("*").alias("n")),
     "without_repository": lambda s, d: versions.without_repository({"files": load(s, d, "files")}, "atlas-core-5fe3a4fbf0c9")["files"].groupBy("repo_id").agg(F.count("*").alias("n")),
     "call_budget": lambda s, d: versions.within_budget(_rel(s, d).where("type = 'calls'").select("id", "repo_id", "confidence"), "repo_id", ["confidence", "id"], 20).select("id", "repo_id"),
+    "build_chunks": lambda s, d: chunks.build_chunks(load(s, d, "files"), _ent(s, d)).select("chunk_id", "span_id", "start_line", "end_line"),
+    "chunk_embeddings": lambda s, d: chunks.embed_chunks(chunks.build_chunks(load(s, d, "files"), _ent(s, d))),
+    "semantic_hits": lambda s, d: chunks.semantic_hits(chunks.build_chunks(load(s, d, "files"), _ent(s, d)), "reconcile ledger entry before the batch closes"),
     "triggers_of_programs": lambda s, d: g.triggers(_rel(s, d), _ent(s, d), g.of_types(_rel(s, d), ("calls", "runs", "invokes")).join(_ent(s, d).where("kind in ('jcl_job', 'transaction_code')").select(F.col("id").alias("src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("id")), 4),
 }
 
@@ -183,7 +186,20 @@ def _relative_sql() -> str:
     return f"with {PATHS}, m as (select path, {m} as module from paths) " + py.format(w=quote(WANTED_PYTHON)) + " union all " + js.format(w=quote(WANTED_JAVASCRIPT))
 
 
+_CONFIG = _quoted([x for k, v in SUFFIXES.items() if v == "config" for x in k.split()])
+CHUNKS = rf"""newest as (select repo_id, path, string_split_regex(content, '\r\n|\r|\n') as lines from (select {clean_id_sql('repo_id')} as repo_id, {clean_id_sql('path')} as path, content,
+    row_number() over (partition by {clean_id_sql('repo_id')}, {clean_id_sql('path')} order by indexed_at desc) as rn from files where content is not null) where rn = 1 and not coalesce(lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) in {_CONFIG}, false)),
+spans as (select e.repo_id, e.path, greatest(1, start_line) as start_line, least(end_line, len(lines)) as end_line, id as span_id from (select * replace ({clean_id_sql('repo_id')} as repo_id, {clean_id_sql('path')} as path) from ent) e join newest n on n.repo_id = e.repo_id and n.path = e.path
+  where kind in {_quoted(chunks.CHUNK_KINDS)} and not missing and start_line is not null and end_line is not null),
+owners as (select repo_id, path, line, arg_min(span_id, (end_line - start_line, -start_line, span_id)) as span_id from (select *, unnest(range(start_line, end_line + 1)) as line from spans where start_line <= end_line) group by 1, 2, 3),
+every as (select repo_id, path, unnest(range(1, len(lines) + 1)) as line from newest),
+placed as (select e.repo_id, e.path, e.line, coalesce(o.span_id, '') as span_id from every e left join owners o on o.repo_id = e.repo_id and o.path = e.path and o.line = e.line),
+runs as (select repo_id, path, span_id, min(line) as first_line, max(line) as last_line, case when span_id = '' then 60 else 200 end as size from (select *, line - row_number() over (partition by repo_id, path, span_id order by line) as island from placed) group by repo_id, path, span_id, island),
+starts as (select *, unnest(case when last_line - first_line + 1 <= size then [first_line] else range(first_line, greatest(first_line, last_line - 10) + 1, size - 10) end) as start_line from runs)"""
+
 SQL = {
+    "build_chunks": over("ent", CHUNKS, body=r"""select 'chunk:' || s.repo_id || ':' || s.path || ':' || start_line || '-' || least(start_line + size - 1, last_line) as chunk_id, nullif(span_id, '') as span_id, start_line::int as start_line, least(start_line + size - 1, last_line)::int as end_line
+      from starts s join newest n on n.repo_id = s.repo_id and n.path = s.path where span_id <> '' or regexp_matches(array_to_string(lines[start_line:least(start_line + size - 1, last_line)], chr(10)), '\S')"""),
     "get_entity": over("ent", body="select id, kind, name, path from ent where id = 'module:atlas-core-5fe3a4fbf0c9:src/common/money.py:src.common.money'"),
     "find_exact_symbol": over("ent", body="select id, kind from ent where name = 'write_entry' or qualified_name = 'write_entry'"),
     "module_names": f"with {PATHS} select path, {MODULE.format(p='path')} as module from paths",

@@ -155,7 +155,27 @@ RESOLVE = f"""hits as (select id, name, kind, case when lower(name) = '{PART}' o
 resolved_symbols as (select id, name, kind, priority, row_number() over (order by priority, tie, id)::int as rank from hits where priority is not null)"""
 SYMBOL_SET = "('symbol', 'function', 'method', 'class', 'interface', 'enum', 'variable', 'type', 'test', 'legacy_program', 'copybook', 'paragraph', 'jcl_job', 'transaction_code')"
 
+def _layer(path: str) -> str:
+    parts = rf"string_split(lower(translate(coalesce({path}, ''), '\.', '//')), '/')"
+    return "case " + " ".join(f"when len(list_intersect({parts}, [{', '.join(repr(w) for w in words.split())}])) > 0 then '{name}'" for name, words in tx.LAYERS.items()) + " else 'Core' end"
+
+
+_SUFFIX = "case " + " ".join(f"when lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) in ({', '.join(repr(x) for x in suffixes.split())}) then '{name}'" for suffixes, name in metrics.SUFFIXES.items()) + " end"
+_MARK = "case language " + " ".join(f"when '{k}' then '{v}'" for k, v in metrics.COMMENT_MARKS.items()) + f" else '{metrics.COMMENT_MARKS['text']}' end"
+LINE_STATS = rf"""newest as (select repo_id, path, content from (select *, row_number() over (partition by repo_id, path order by indexed_at desc) as rn from files) where rn = 1 and content is not null),
+split as (select repo_id, path, language, unnest(string_split_regex(content, '\r\n|\r|\n')) as x, {_MARK} as mark from (select *, coalesce({_SUFFIX}, 'text') as language from newest)),
+stats as (select repo_id, path, language, count(*) filter (not blank and not comment) as code, count(*) filter (not blank and comment) as comment, count(*) filter (blank) as blank
+  from (select *, trim(translate(x, chr(9), ' ')) = '' as blank, regexp_matches(x, mark) as comment from split) group by 1, 2, 3)"""
+QUERY_TOKENS = "[" + ", ".join(repr(t) for t in search.query_tokens(QUERY)) + "]"
+
 SQL = {
+    "simple_names": over("ent", body=rf"""select id, list_extract(string_split(rtrim(coalesce(qualified_name, ''), '.'), '.'), -1) as simple, {_layer('path')} as layer,
+      case when start_line is null or start_line <= 0 then path when end_line is null or end_line <= start_line then path || ':' || start_line else path || ':' || start_line || '-' || end_line end as location from ent"""),
+    "line_stats": f"with {LINE_STATS} select repo_id, path, language, code::int as code, comment::int as comment, blank::int as blank from stats",
+    "loc_by_language_rollup": f"""with {LINE_STATS} select coalesce(language, 'total') as language, count(*) as files, sum(code)::bigint as code, sum(comment)::bigint as comment, sum(blank)::bigint as blank,
+      case when sum(code) + sum(comment) > 0 then round(sum(comment) / (sum(code) + sum(comment))::double, 3) else 0.0 end as comment_ratio from stats group by rollup (language)""",
+    "keyword_overlap": over("ent", f"scored as (select id, name, len(list_intersect(list_distinct(list_concat(list_concat({_tokens_sql('name')}, {_tokens_sql('qualified_name')}), {_tokens_sql('docstring')})), {QUERY_TOKENS})) as overlap from ent)",
+        body=f"select id, (overlap + case when list_contains({QUERY_TOKENS}, lower(name)) then 2 else 0 end)::double as score from scored where overlap > 0 order by score desc, id limit 30"),
     "tokenize": f"select doc_id, len({_tokens_sql('text')})::int as n_tokens, coalesce(array_to_string(list_sort(list_distinct({_tokens_sql('text')}))[1:5], ' '), '') as first_tokens from documents",
     "split_identifier": f"select name, array_to_string({WORDS.format(x='name')}, ' ') as words from (select distinct name from parsed_symbols where name is not null)",
     "looks_like_identifier": r"select doc_id, regexp_matches(coalesce(text, ''), '(`[^`]+`)|([A-Za-z_][A-Za-z0-9_]*\s*\()|([a-z]+_[a-z0-9_]+)|([a-z]+[A-Z][A-Za-z0-9]*)|(\w+\.\w+)') as code from documents",

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.intervals import innermost
+
 OCCURRENCES = "source string, path string, start_line int, symbol string, is_definition boolean"
 
 # Field numbers of the format, and the role bit of a definition.
@@ -79,16 +81,17 @@ def occurrences(indexes: DataFrame) -> DataFrame:
 
 
 def proven_edges(found: DataFrame, spans: DataFrame) -> DataFrame:
-    """(src_id, dst_id, path, line): the symbol around each reference and the symbol defined where the reference leads.
+    """(repo_id, src_id, dst_id, path, line): the symbol around each reference and the symbol defined where the reference leads.
 
-    ``spans``: (path, start_line, end_line, span_id) of stored symbols. A definition belongs to the
+    ``found`` has the repo_id of its index beside the columns of ``occurrences``; ``spans``:
+    (repo_id, path, start_line, end_line, span_id) of stored symbols. A definition belongs to the
     span that starts on its line or next to it, the nearest first; a reference to the narrowest one
-    around it. References from a symbol to itself are left out.
+    around it. Symbols are looked up within their repository. References from a symbol to itself
+    are left out.
     """
-    near = found.where("is_definition").select("symbol", "path", F.explode(F.sequence(F.col("start_line") - 1, F.col("start_line") + 1)).alias("start_line"), F.col("start_line").alias("at"))
-    defined = near.join(spans.select("path", "start_line", F.col("span_id").alias("dst_id")), ["path", "start_line"])
-    defined = defined.groupBy("symbol").agg(F.min(F.struct(F.abs(F.col("start_line") - F.col("at")).alias("d"), "dst_id")).alias("b")).select("symbol", "b.dst_id")
-    uses = found.where("not is_definition").select("symbol", "path", F.col("start_line").alias("line"))
-    around = uses.join(spans, "path").where("line between start_line and end_line")
-    around = around.groupBy("symbol", "path", "line").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("w"), "span_id")).alias("b"))
-    return around.join(defined, "symbol").select(F.col("b.span_id").alias("src_id"), "dst_id", "path", "line").where("src_id <> dst_id").distinct()
+    near = found.where("is_definition").select("repo_id", "symbol", "path", F.explode(F.sequence(F.col("start_line") - 1, F.col("start_line") + 1)).alias("start_line"), F.col("start_line").alias("at"))
+    defined = near.join(spans.select("repo_id", "path", "start_line", F.col("span_id").alias("dst_id")), ["repo_id", "path", "start_line"])
+    defined = defined.groupBy("repo_id", "symbol").agg(F.min(F.struct(F.abs(F.col("start_line") - F.col("at")).alias("d"), "dst_id")).alias("b")).select("repo_id", "symbol", "b.dst_id")
+    uses = found.where("not is_definition").select("repo_id", "path", F.col("start_line").alias("line"), F.col("symbol").alias("point_id")).distinct()
+    around = innermost(uses, spans, keep_line=True).select("repo_id", "path", "line", F.col("point_id").alias("symbol"), F.col("span_id").alias("src_id"))
+    return around.join(defined, ["repo_id", "symbol"]).select("repo_id", "src_id", "dst_id", "path", "line").where("src_id <> dst_id").distinct()
