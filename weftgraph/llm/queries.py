@@ -41,6 +41,15 @@ QUERIES |= {
     "p6_fill": lambda s, d: packing.fill_report(packing.pack(_sizes(s, d), load(s, d, "pack_sizes")), load(s, d, "pack_sizes")),
     "p7_mixture": lambda s, d: mixture.mixture(_sizes(s, d), load(s, d, "mix_targets")),
     "p7_shares": lambda s, d: mixture.shares(_sizes(s, d), load(s, d, "mix_targets")),
+    "p7_feasible_shares": lambda s, d: mixture.shares(_sizes(s, d), load(s, d, "mix_targets"), mixture.FEASIBLE),
 }
 
-SQL: dict[str, str] = {}
+_ID = r"trim(regexp_replace(chunk_id, '[\t-\r\x1c-\x20\x{85}\p{Z}]+', ' ', 'g'))"
+#: Every usable vector against every other of its model: what the search by codes must come to.
+SQL = {
+    "p2_found": f"""with v as (select model, dim, {_ID} as id, min(vector) as vector from vectors
+      where model is not null and chunk_id is not null and vector is not null and len(vector) = dim and dim > 0 and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by 1, 2, 3),
+    near as (select *, row_number() over (partition by model, dim, a order by s desc, b) as n from (
+      select p.model, p.dim, p.id as a, q.id as b, round(list_cosine_similarity(p.vector::double[], q.vector::double[]), 9) as s from v p join v q on q.model = p.model and q.dim = p.dim and q.id <> p.id))
+    select distinct x.a as chunk_id_a, x.b as chunk_id_b from near x join near y on y.model = x.model and y.dim = x.dim and y.a = x.b and y.b = x.a where x.a < x.b and x.n <= 10 and y.n <= 10 and x.s >= 0.9""",
+}
