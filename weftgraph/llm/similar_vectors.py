@@ -26,8 +26,8 @@ ONE_LEVEL, SAMPLE_PER_CELL = 1024, 16
 BIG_CLASS = 100_000
 #: Rows of a cell that one task compares at once with as many queries; larger cells are split.
 BLOCK = 4096
-#: Standard errors of the estimate within which a vector counts as possible: 3 lose about 1 vector in 10^3, 1.9 about 3 in 10^2.
-SURE, LIKELY = 3.0, 1.9
+#: Standard errors of the estimate within which a vector counts as possible: 3 lose about 1 vector in 10^3.
+SURE = 3.0
 QUERY_BITS = 4
 
 
@@ -229,12 +229,18 @@ def _best(q, asks, own, x, ids, code, centroid, turn, k, floor, epsilon) -> pd.D
     guess, bound = estimate(q, centroid, turn, code, epsilon)
     at = np.flatnonzero(own >= 0)
     guess[at, own[at]] = -99.0
-    bar = np.full(len(q), floor, np.float32)
+    bar = np.full(len(q), floor)
     if len(x) > k:
-        bar = np.maximum(bar, np.partition(guess - bound, len(x) - k, axis=1)[:, len(x) - k])
+        # The k-th exact product of the most promising rows is a floor that the estimates of all others have to reach.
+        first = min(len(x), 4 * k + 1)
+        likely = np.argpartition(guess, len(x) - first, axis=1)[:, len(x) - first :]
+        products = np.einsum("nd,nkd->nk", q, x[likely])
+        products[likely == own[:, None]] = -99.0
+        bar = np.maximum(bar, np.partition(products, first - k, axis=1)[:, first - k] - 1e-9)
     i, j = np.nonzero(guess + bound >= bar[:, None])
-    exact = np.einsum("nd,nd->n", q[i], x[j])
-    keep = exact >= floor
+    # Where many rows are possible, one product of the block is cheaper than that of each pair.
+    exact = (q @ x.T)[i, j] if len(i) > guess.size / 64 else np.einsum("nd,nd->n", q[i], x[j])
+    keep = exact >= bar[i]
     i, j, exact = i[keep], j[keep], exact[keep]
     order = np.lexsort((ids[j, 0], -exact, i))
     i, j, exact = i[order], j[order], exact[order]
@@ -244,7 +250,7 @@ def _best(q, asks, own, x, ids, code, centroid, turn, k, floor, epsilon) -> pd.D
     return pd.DataFrame({"q1": asks[i, 0], "q2": asks[i, 1], "x1": ids[j, 0], "x2": ids[j, 1], "similarity": exact[top]})
 
 
-def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, probes: int | float = 0.7, rows_per_cell: int | None = 4096, all_members: bool = True, epsilon: float = LIKELY) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, probes: int | float = 0.7, rows_per_cell: int | None = 4096, all_members: bool = True, epsilon: float = SURE) -> DataFrame:
     """(model, chunk_id, rank, neighbour, similarity): the ``k`` most similar other chunks of each usable vector, within its model.
 
     Rank 1 is the most similar; ties go by chunk_id. Vectors of unequal ``dim`` are not compared.
